@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import similar
+from lodestone.llm import encode, mixing, neardup, sentences, similar
 from lodestone.tables import table
 
 
@@ -19,4 +19,29 @@ def p1_topk(spark: SparkSession, sf: str) -> DataFrame:
     return similar.most_similar(table(spark, sf, "line_docs").select("id", "vector"), k=5, probes=0.3, asking=asking)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_topk)}
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "line_docs").select("id", "title", "text"), least=0.6, width=3, least_words=10)
+
+
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode.encode_column(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", encode.tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, table(spark, sf, "mix_targets"), encode.tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf)[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(*_mixed(spark, sf))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_topk, p3_found, p7_ids, p8_mix, p8_shares, p9_found)}
