@@ -64,3 +64,5 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_lifespans, p2_table, p4_found, p5_found, p6_found, p6_inferred_order)}
+
+SQL: dict[str, str] = {}
