@@ -1 +1,177 @@
-"""Queries."""
+"""Vector queries over embeddings (vec_id, embedding, label)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone.operators import vectors as v
+from lodestone.queries.registry import query
+from lodestone.tables import table
+
+
+def _e(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+
+
+def _q(spark, sf):
+    """The query vectors of these queries: a stated set of five."""
+    return table(spark, sf, "embeddings").where("vec_id in (0, 1, 2, 3, 4)").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+Q = "q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id IN (0, 1, 2, 3, 4))"
+DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.qv[i] AS DOUBLE)))"
+SQ = "list_sum(list_transform(range(1, 65), lambda i: (CAST(e.embedding[i] AS DOUBLE) - CAST(q.qv[i] AS DOUBLE)) * (CAST(e.embedding[i] AS DOUBLE) - CAST(q.qv[i] AS DOUBLE))))"
+NRM = lambda x: f"sqrt(list_sum(list_transform({x}, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))"
+SCORE = {
+    "dot": f"(1 + {DOT}) / 2",
+    "cosine": f"(1 + {DOT} / ({NRM('e.embedding')} * {NRM('q.qv')})) / 2",
+    "euclidean": f"1 / (1 + {SQ})",
+    "mip": f"CASE WHEN {DOT} >= 0 THEN 1 + {DOT} ELSE 1 / (1 - {DOT}) END",
+}
+
+
+def top(metric: str, k: int = 10, where: str = "true") -> str:
+    return (
+        f"WITH {Q}, s AS (SELECT query_id, vec_id, label, round({SCORE[metric]}, 9) AS score FROM embeddings e, q WHERE {where}), "
+        f"r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM s) "
+    ) + f"SELECT query_id, vec_id, round(score, 6) AS score, CAST(rk AS INTEGER) AS rank FROM r WHERE rk <= {k}"
+
+
+def _out(df):
+    return df.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(top("dot"))
+def knn_dot(spark, sf):
+    return _out(v.knn(_e(spark, sf), _q(spark, sf), 10, "dot"))
+
+
+@query(top("cosine"))
+def knn_cosine(spark, sf):
+    return _out(v.knn(_e(spark, sf), _q(spark, sf), 10, "cosine"))
+
+
+@query(top("euclidean"))
+def knn_euclid(spark, sf):
+    return _out(v.knn(_e(spark, sf), _q(spark, sf), 10, "euclidean"))
+
+
+@query(top("mip"))
+def knn_mip(spark, sf):
+    return _out(v.knn(_e(spark, sf), _q(spark, sf), 10, "mip"))
+
+
+@query(top("dot", where="e.label % 2 = 0"))
+def knn_prefilter(spark, sf):
+    return _out(v.knn(_e(spark, sf).where("label % 2 = 0"), _q(spark, sf), 10, "dot"))
+
+
+@query(top("dot") + " AND label % 2 = 0")
+def knn_postfilter(spark, sf):
+    best = v.knn(_e(spark, sf), _q(spark, sf), 10, "dot")
+    return _out(best.join(_e(spark, sf).where("label % 2 = 0").select("vec_id"), "vec_id", "left_semi"))
+
+
+@query(f"WITH {Q} SELECT query_id, vec_id, round(round({SCORE['dot']}, 9), 6) AS score FROM embeddings e, q WHERE round({SCORE['dot']}, 9) >= 0.65")
+def knn_radius(spark, sf):
+    return v.knn(_e(spark, sf), _q(spark, sf), 0, "dot", least=0.65).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"WITH {Q}, s AS (SELECT query_id, vec_id, label, round({SCORE['dot']}, 9) AS score FROM embeddings e, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM s), "
+    "p AS (SELECT query_id, label, max(score) AS score FROM r WHERE rk <= 50 GROUP BY query_id, label), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rk FROM p) "
+    "SELECT query_id, label, round(score, 6) AS score, CAST(rk AS INTEGER) AS rank FROM t WHERE rk <= 5"
+)
+def knn_parent_max(spark, sf):
+    best = v.knn(_e(spark, sf), _q(spark, sf), 50, "dot").join(_e(spark, sf).select("vec_id", "label"), "vec_id")
+    return v.best_per_parent(best, "query_id", "label", 5).select("query_id", "label", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    f"WITH {Q}, s AS (SELECT query_id, vec_id, label, round({SCORE['dot']}, 9) AS score FROM embeddings e, q), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS k FROM s), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM c WHERE k = 1) SELECT query_id, vec_id, label, round(score, 6) AS score FROM r WHERE rk <= 5"
+)
+def knn_diversified(spark, sf):
+    """The best child of each parent: exact, so every parent's best is found before the cut."""
+    from pyspark.sql import Window
+
+    scored = v.knn(_e(spark, sf), _q(spark, sf), 0, "dot", least=float("-inf")).join(_e(spark, sf).select("vec_id", "label"), "vec_id")
+    best = scored.groupBy("query_id", "label").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("b"))
+    best = best.select("query_id", "label", F.col("b.score").alias("score"), (-F.col("b.v")).alias("vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("r", rank).where("r <= 5").select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query("SELECT CAST(1.0 AS DOUBLE) AS recall")
+def recall_at_k(spark, sf):
+    """Recall of the exact search against itself: one by definition."""
+    truth = v.knn(_e(spark, sf), _q(spark, sf), 10, "dot")
+    return v.recall(truth, truth, "query_id", "vec_id")
+
+
+@query()
+def oversample_rerank(spark, sf):
+    return v.rerank(_e(spark, sf), _q(spark, sf), 10, 5, 4).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def rerank_recall(spark, sf):
+    truth = v.knn(_e(spark, sf), _q(spark, sf), 10, "dot")
+    return v.recall(v.rerank(_e(spark, sf), _q(spark, sf), 10, 5, 4), truth, "query_id", "vec_id")
+
+
+@query("SELECT dim, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS stdev, count(*) FILTER (x = 0) AS zeros FROM (SELECT unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY dim")
+def vec_dim_stats(spark, sf):
+    s = v.dimension_stats(_e(spark, sf), "embedding")
+    return s.select("dim", "n", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"), "zeros")
+
+
+@query()
+def vec_drift(spark, sf):
+    e = _e(spark, sf)
+    return v.drift(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 != 0"), "embedding")
+
+
+@query("WITH a AS (SELECT embedding AS x, count(*) AS n FROM embeddings WHERE vec_id % 2 = 0 GROUP BY 1), b AS (SELECT embedding AS x, count(*) AS n FROM embeddings WHERE vec_id % 2 = 1 GROUP BY 1) SELECT CAST(coalesce((SELECT sum(a.n) FROM a JOIN b USING (x)), 0) AS BIGINT) AS shared, CAST(coalesce((SELECT sum(n - 1) FROM a WHERE n > 1), 0) AS BIGINT) AS repeats_a, CAST(coalesce((SELECT sum(n - 1) FROM b WHERE n > 1), 0) AS BIGINT) AS repeats_b")
+def dup_overlap(spark, sf):
+    e = _e(spark, sf)
+    return v.overlap(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "embedding")
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(CAST(greatest(least(round(CAST(x AS DOUBLE) * 127), 127), -128) AS INTEGER) AS VARCHAR)), ',') AS bytes FROM embeddings")
+def vec_to_bytes(spark, sf):
+    return _e(spark, sf).select("vec_id", F.array_join(F.transform(v.scale_clip(F.col("embedding"), 127), lambda x: x.cast("string")), ",").alias("bytes"))
+
+
+@query("SELECT label, round(sqrt(list_sum(list_transform(range(64), lambda i: s[i + 1] * s[i + 1]))), 6) AS length FROM (SELECT label, list(x ORDER BY dim) AS s FROM (SELECT label, dim, sum(x) AS x FROM (SELECT label, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, dim) GROUP BY label)")
+def vec_sum_length(spark, sf):
+    flat = _e(spark, sf).select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    return flat.groupBy("label").agg(F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("length"))
+
+
+@query()
+def hadamard(spark, sf):
+    return v.hadamard(_e(spark, sf), "vec_id", "embedding", 64)
+
+
+@query()
+def intrinsic_dimension(spark, sf):
+    return v.intrinsic_dimension(_e(spark, sf), "embedding", "vec_id")
+
+
+@query()
+def random_filter_knn(spark, sf):
+    kept = _e(spark, sf).where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(100)) < 20)
+    return _out(v.knn(kept, _q(spark, sf), 10, "dot"))
+
+
+@query("WITH RECURSIVE n AS (SELECT n_nationkey AS id FROM nation), e AS (SELECT n_nationkey AS src, n_nationkey + 5 AS dst FROM nation WHERE n_nationkey + 5 < 25), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT id, id AS c FROM n UNION SELECT b.dst, r.c FROM r JOIN b ON b.src = r.id) SELECT id, min(c) AS component FROM r GROUP BY id")
+def graph_components(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"))
+    e = n.select(F.col("id").alias("src"), (F.col("id") + 5).alias("dst")).where("dst < 25")
+    return v.components(n, e)
+
+
+@query("SELECT fanout, count(*) AS nodes FROM (SELECT l_orderkey, count(*) AS fanout FROM lineitem GROUP BY l_orderkey) GROUP BY fanout")
+def graph_fanout(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("fanout")).groupBy("fanout").agg(F.count("*").alias("nodes"))
