@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -296,13 +295,12 @@ def _match_shuffled(points: DataFrame, regions: DataFrame, keys: list[str], tree
             salt = (np.arange(len(ok)) * 2654435761 % (1 << 32)) % dealt.value[leaf]
             yield pa.RecordBatch.from_arrays([*batch.take(pa.array(ok)).columns, pa.array(leaf, pa.int64()), pa.array(salt, pa.int64())], names=[*batch.schema.names, "__leaf", "__salt"])
 
-    def replicate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            at = [sorted({int(x) for box in boxes_of(_plain(r)) for x in shared.value.meeting(box)}) for r in frame.to_dict("records")]
-            frame["__leaf"] = at
-            frame = frame.explode("__leaf").dropna(subset=["__leaf"])
-            frame["__salt"] = [list(range(dealt.value[int(x)])) for x in frame["__leaf"]]
-            yield frame.explode("__salt").astype({"__leaf": "int64", "__salt": "int64"})
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [sorted({int(x) for box in boxes_of(r) for x in shared.value.meeting(box)}) for r in batch.to_pylist()]
+            copies = np.array([(i, leaf, salt) for i, leaves in enumerate(at) for leaf in leaves for salt in range(int(dealt.value[leaf]))], np.int64).reshape(-1, 3)
+            columns = [*batch.take(pa.array(copies[:, 0])).columns, pa.array(copies[:, 1]), pa.array(copies[:, 2])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "__leaf", "__salt"])
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         leaf = (left if left.num_rows else right).column("__leaf")[0].as_py()
@@ -311,13 +309,5 @@ def _match_shuffled(points: DataFrame, regions: DataFrame, keys: list[str], tree
         return left.select(keys).take(pa.array(p)).append_column("place_id", pa.array(matcher.place[r], pa.string()))
 
     a = points.mapInArrow(to_leaf, f"{kinds}, lat double, lon double, __leaf long, __salt long")
-    b = regions.mapInPandas(replicate, f"{REGION_SCHEMA}, __leaf long, __salt long")
+    b = regions.select("place_id", "lat", "lon", "radius_m", "rings").mapInArrow(replicate, f"{REGION_SCHEMA}, __leaf long, __salt long")
     return a.groupBy("__leaf", "__salt").cogroup(b.groupBy("__leaf", "__salt")).applyInArrow(probe, f"{kinds}, place_id string")
-
-
-def _plain(row: dict) -> dict:
-    """A region as pandas gives it, with None for what is missing."""
-    out = {k: (None if isinstance(v, float) and math.isnan(v) else v) for k, v in row.items()}
-    if out["rings"] is not None:
-        out["rings"] = [list(ring) if ring is not None else None for ring in out["rings"]]
-    return out
