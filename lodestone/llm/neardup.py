@@ -6,9 +6,11 @@ is the key of a table, so ``half * half`` tables need only ``2 * half`` half-key
 share a key in any table are candidates, and candidates are verified on their exact sets.
 
 Records with the same words are one class and stand in the tables once. A bucket of at most
-``BUCKET`` classes gives its pairs as candidates; a larger one is split by further half-keys,
-again and again, and what can't be split further is verified block against block, in parallel,
-with only true pairs leaving a task. So no partner is ever cut off.
+``BUCKET`` classes gives its pairs as candidates. The classes of larger buckets (a text that many
+share in part) are joined exactly instead: two sets of similarity s share one of the rarest
+(1 - s) of their shingles, so each class is filed under those only, which common passages never
+are. Where even such a file is large, its classes really are alike; it is compared block against
+block, in parallel, and only true pairs leave a task. So no partner is ever cut off.
 
 Defined results: null title or text counts as empty; records of fewer than ``least_words`` words
 and null ids are left out; rows with equal id count once. In a class of more than ``EXPAND``
@@ -36,7 +38,6 @@ HALF, MINHASHES = 8, 2
 BUCKET = 32
 BLOCK = 256
 EXPAND = 64
-SPLITS = 3
 CACHE = 500_000
 
 
@@ -169,24 +170,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, least_w
     tables = F.flatten(F.transform(half(0), lambda x, i: F.transform(half(1), lambda y, j: F.xxhash64(x, y, i, j))))
     pairs = materialise(_bucketed(reps.select("id", F.explode(tables).alias("key"))))
     found = pairs.where("b is not null").select("a", "b")
-    hot = pairs.where("b is null").select("key", F.col("a").alias("id"))
-    blocks = more = None
-    for split in range(SPLITS):
-        if not hot.head(1):
-            hot = None
-            break
-        if split == 0:
-            again = full.join(hot.select("id").distinct(), "id", "left_semi")
-            more = materialise(again.mapInArrow(_signatures(width, least_words, 2 + SPLITS), shape).select("id", "keys").dropDuplicates(["id"]))
-        deeper = hot.join(more, "id").select("id", F.explode(F.transform(half(2 + split), lambda x, i: F.xxhash64(F.col("key"), x, i))).alias("key"))
-        pairs = materialise(_bucketed(deeper))
-        found = found.unionByName(pairs.where("b is not null").select("a", "b"))
-        hot = pairs.where("b is null").select("key", F.col("a").alias("id"))
-    if hot is not None and hot.head(1):
-        blocks = _block_pairs(hot, full, width, least)
+    hot = pairs.where("b is null").select(F.col("a").alias("id"))
     true = _verified(found.distinct(), full, width, least)
-    if blocks is not None:
-        true = true.unionByName(blocks)
+    if hot.head(1):
+        true = true.unionByName(_exact_pairs(hot.select("id").distinct(), full, width, least))
     return _with_copies(true.distinct(), signed.select("id", "h").distinct(), reps.select("id", "h"))
 
 
@@ -215,12 +202,35 @@ def _verified(pairs: DataFrame, full: DataFrame, width: int, least: float) -> Da
     return joined.where(enough).select("a", "b")
 
 
-def _block_pairs(hot: DataFrame, full: DataFrame, width: int, least: float) -> DataFrame:
-    """True pairs within the buckets that could not be split, each block against each."""
+def _exact_pairs(ids: DataFrame, full: DataFrame, width: int, least: float) -> DataFrame:
+    """All true pairs among ``ids`` by the prefix filter, whatever share of the records they are."""
+    sets = materialise(_shingle_sets(full, ids, width))
+    flat = sets.select("id", F.explode("s").alias("key"))
+    rare = flat.groupBy("key").agg(F.count("*").alias("f"))
+    order = flat.join(rare.where("f > 1"), "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("by"))
+    # shingles of one record only are the rarest; they fill the prefix first and lead nowhere
+    own = order.join(sets.select("id", F.size("s").alias("n")), "id")
+    prefix = F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - F.size("by"))
+    keyed = own.where(prefix > 0).select("id", F.explode(F.slice("by", F.lit(1), prefix.cast("int"))["key"]).alias("key"))
+    pairs = materialise(_bucketed(keyed))
+    true = _verified(pairs.where("b is not null").select("a", "b").distinct(), full, width, least)
+    large = pairs.where("b is null").select("key", F.col("a").alias("id"))
+    if not large.head(1):
+        return true
+    # buckets with the same members are compared once
+    alike = large.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    once = alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return true.unionByName(_block_pairs(large.join(once, "key", "left_semi"), sets, least))
+
+
+def _block_pairs(hot: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """True pairs within large buckets, each block against each."""
     number = F.row_number().over(Window.partitionBy("key", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id"))
-    hot = hot.withColumn("block", F.concat_ws("-", F.pmod(F.xxhash64("id"), F.lit(64)), F.floor(number / BLOCK)))
-    sets = _shingle_sets(full, hot.select("id").distinct(), width)
-    own = materialise(hot.join(sets, "id"))
+    # few ids a part stay one block; a part of a hot bucket is cut every BLOCK ids
+    size = hot.groupBy("key").agg(F.count("*").alias("n"))
+    parts = F.least(F.lit(64), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)))
+    hot = hot.withColumn("number", number).join(size, "key").withColumn("block", F.concat_ws("-", F.pmod(F.pmod(F.xxhash64("id"), F.lit(64)), parts), F.floor(F.col("number") * F.least(F.lit(64), F.ceil(64 / parts)) / BLOCK)))
+    own = materialise(hot.select("key", "block", "id").join(sets, "id"))
     names = own.select("key", "block").distinct()
     duty = names.select("key", F.col("block").alias("x")).join(names.select("key", F.col("block").alias("y")), "key").where("x <= y")
     one = duty.join(own.select("key", F.col("block").alias("x"), "id", "s"), ["key", "x"]).select("key", "x", "y", F.lit(0).alias("side"), "id", "s")
