@@ -46,12 +46,13 @@ ORDINAL_BEFORE = set("der die das dem den des am im zum vom beim zur ab bis seit
 GOES_ON = regex.compile(
     r"""\s*(?:[,،、，;:：]|[—–-]\s|[—–]{1,2}
     |と|って(?!い)|という|라고|하고|이라고|고\s
-    |[A-Za-z][\w.'-]*\s?(?:さん|君|氏|様)?(?:问道|喊道|说|写道|答道|回答|叫道|道[，。：])
+    |[A-Za-z][\w.'-]*\s?(?:さん|君|氏|様)?(?:问道|喊道|说|写道|答道|回答|叫道|道)(?!\s*[：:])
     |[A-Za-z][\w.'-]*\s+ने\s
-    |(?:سأل|سألت|قال|قالت|كتب|كتبت|أجاب|صرخ|ردّ|أضاف)\s
     |ถาม|กล่าว|บอก|ने\s)""",
     regex.VERBOSE,
 )
+# As above, but only after a question or a cry: a verb that begins the next sentence is as likely else.
+ASKED = regex.compile(r"\s*(?:سأل|سألت|قال|قالت|صرخ|صرخت|أجاب|أجابت)\s")
 ELLIPSIS = regex.compile(r"…+|\.{3,}|。{3,}|⋯+")
 TERM = regex.compile(r"(?:[\p{SB=STerm}\p{SB=ATerm}…⋯]|(?<=\p{Greek}[»\"”)]?);|;)+(?:[\s ]*[!?‼⁇⁈⁉？！]+)*")
 CLOSE = regex.compile(r"[   ]?»|[)\]}”’›」』）】》〉〕｝］\"'“‘]")
@@ -126,6 +127,8 @@ def _ends(text: str, begin: int, m: regex.Match, closed: int, end: int) -> bool:
     spaced = text[closed].isspace()
     nxt = text[start]
     quoted = closed > m.end() and any(c in QUOTE_PAIRS for c in text[m.end() : closed])
+    if quoted and mark[-1] in "؟?!" and ASKED.match(text, closed, end):
+        return False
     if _in_bracket(text, begin, m.start(), closed):
         return False
     if (quoted or mark[-1] not in ".") and GOES_ON.match(text, closed, end) and (quoted or text[closed] in ",،、，"):

@@ -261,7 +261,7 @@ CASES = [
     ("全部で77件が増えた（橋の近くで。）という話だ。", ["全部で77件が増えた（橋の近くで。）という話だ。"]),
     ("真慢啊！（在桥边，完成。）“停！”Lo喊道，“完成！”Mia说：“丢失。”", ["真慢啊！", "（在桥边，完成。）", "“停！”Lo喊道，“完成！”", "Mia说：“丢失。”"]),
     ("“끝났나?” 하고 Lo 씨가 물었다. 정말 느리다!", ["“끝났나?” 하고 Lo 씨가 물었다.", "정말 느리다!"]),
-    ("ผลดี รายการที่ 64 รายการ คุณ Lo บอก", ["ผลดี", "รายการที่ 64 รายการ คุณ Lo บอก"]),
+    ("ผลดี รายการที่ 64 รายการ คุณ Lo บอก", ["ผลดี", "รายการที่ 64 รายการ", "คุณ Lo บอก"]),
     ("A heading\n\nOne line\ngoes on. Next.\r\n\r\n- first item\n• second item. Two.", ["A heading", "One line\ngoes on.", "Next.", "- first item", "• second item.", "Two."]),
     ("run\r\nfor long queries. Next", ["run\r\nfor long queries.", "Next"]),
     ("  \n \t ", []),
