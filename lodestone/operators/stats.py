@@ -38,9 +38,14 @@ def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(mean, 6).alias("mean"), F.round(dev, 6).alias("stdev"), F.round(F.stddev_pop(v), 6).alias("stdev_pop"), F.round(dev / mean, 6).alias("cv"))
 
 
-@F.pandas_udf("double")
-def erf(x: pd.Series) -> pd.Series:
-    return x.map(math.erf, na_action="ignore")
+def erf(x: Column) -> Column:
+    """The error function, which Spark lacks; of one row a group, so its cost is small."""
+
+    @F.pandas_udf("double")
+    def work(v: pd.Series) -> pd.Series:
+        return v.map(math.erf, na_action="ignore")
+
+    return work(x)
 
 
 def t_test(df: DataFrame, keys: list[str], side: str, value: str, a: str, b: str) -> DataFrame:

@@ -98,7 +98,7 @@ def vector_file(spark: SparkSession, path: str, dim: int, kind: str = "float32",
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for name, data in zip(f["path"], f["content"]):
-                flat = np.frombuffer(bytes(data), dtype)
+                flat = np.frombuffer(bytes(data)[: len(data) // dtype.itemsize * dtype.itemsize], dtype)
                 x = flat[: len(flat) // dim * dim].reshape(-1, dim)[start:].astype(np.float32)
                 for lo in range(0, len(x), 4096):
                     yield pd.DataFrame({"path": name, "ordinal": np.arange(start + lo, start + min(lo + 4096, len(x))), "vector": list(x[lo : lo + 4096])})
