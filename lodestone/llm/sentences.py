@@ -15,6 +15,8 @@ unit; offsets count code points; text of any length is worked on whole, in linea
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,7 +64,9 @@ QUOTE_PAIRS = {"”": "“", "’": "‘", "»": "«", "›": "‹", "」": "「
 BREAK = r"(?>\r\n|[\n\r\x85 ])"
 BLANK = regex.compile(BREAK + r"[^\S\n\r\x85 ]*" + BREAK + r"\s*| \s*")
 MARKED = regex.compile(r"(?:(?<=[\n\r\x85 ])|^)[^\S\n\r\x85 ]*(?=[-•] )")
-WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}_]+(?:[.'’-][\p{L}\p{M}\p{N}_]+)*\Z")
+INITIALS = regex.compile(r"\p{Lu}(?:\.?-\p{Lu})+")
+BRACKET = re.compile(r"[(\[{（【［〔｛]")
+THAI = re.compile("[\u0e00-\u0e7f]")
 THAI_SPACE = regex.compile(r"(?<=[\p{Thai}\p{Po}\p{Pf}\p{Pe}\"])\s+(?=[\p{Thai}\p{Pi}\p{Ps}\"])")
 SKIP = regex.compile(r"[\s\p{Pi}\p{Ps}\"'„‚«‹¿¡*_=#]*")
 LATIN_DIGIT = regex.compile(r"[\p{Latin}\p{N}]")
@@ -76,9 +80,19 @@ def m_end(text: str, at: int) -> int:
     return at
 
 
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c == "_" or c >= "\u0300" and unicodedata.category(c)[0] == "M"
+
+
 def _word_before(text: str, at: int) -> str:
-    m = WORD_BEFORE.search(text, max(0, at - 40), at)
-    return m.group() if m else ""
+    """The word that ends at ``at``, with marks inside such as U.S or J.-P; 40 characters at most."""
+    i, least = at, max(0, at - 40)
+    while i > least:
+        c = text[i - 1]
+        if not (_in_word(c) or c in ".'’-" and i < at and i - 1 > least and _in_word(text[i - 2]) and _in_word(text[i])):
+            break
+        i -= 1
+    return text[i:at]
 
 
 def _closes(text: str, at: int, begin: int, end: int) -> int:
@@ -102,6 +116,8 @@ def _closes(text: str, at: int, begin: int, end: int) -> int:
 
 def _in_bracket(text: str, begin: int, at: int, closed: int) -> bool:
     """Whether a bracket that opened inside the sentence is open before ``at`` or closed by ``at..closed``."""
+    if not BRACKET.search(text, begin, closed):
+        return False
     for mark in text[at:closed]:
         mate = PAIRS.get(mark)
         if mate is not None:
@@ -165,7 +181,7 @@ def _ends(text: str, begin: int, m: regex.Match, closed: int, end: int) -> bool:
                 return False
             if "." in word and all(len(x) == 1 for x in word.split(".")):
                 return False
-            if regex.fullmatch(r"\p{Lu}(?:\.?-\p{Lu})+", word):
+            if INITIALS.fullmatch(word):
                 return False
             if word.isdigit() and len(word) <= 3 and nxt.isupper():
                 prior = _word_before(text, text.rfind(word, begin, m.start()) - 1).lower() if text.rfind(word, begin, m.start()) > begin else ""
@@ -194,6 +210,7 @@ def spans(text: str) -> list[tuple[int, int]]:
         if a < b:
             out.append((a, b))
 
+    is_thai = THAI.search(text) is not None
     edges = {0, len(text)}
     for m in BLANK.finditer(text):
         edges.add(m.end())
@@ -205,7 +222,7 @@ def spans(text: str) -> list[tuple[int, int]]:
         while stop > begin and text[stop - 1].isspace():
             stop -= 1
         cuts = []
-        thai = [m for m in THAI_SPACE.finditer(text, begin, stop)]
+        thai = THAI_SPACE.finditer(text, begin, stop) if is_thai else ()
         marks = [(m.start(), m) for m in TERM.finditer(text, begin, stop)] + [(m.start(), None) for m in thai]
         at = begin
         for pos, m in sorted(marks, key=lambda x: x[0]):
@@ -218,7 +235,10 @@ def spans(text: str) -> list[tuple[int, int]]:
                     cuts.append(pos)
                     at = pos
                 continue
-            closed = _closes(text, m.end(), at, stop)
+            after = m.end()
+            if after < stop and text[after].isdigit() and pos > begin and text[pos - 1].isdigit() and after == pos + 1 and text[pos] == ".":
+                continue  # a decimal or a version
+            closed = _closes(text, after, at, stop)
             if _ends(text, at, m, closed, stop):
                 cuts.append(closed)
                 at = closed
