@@ -34,6 +34,8 @@ SAMPLE_A_LIST, FIT_ROWS, MAX_LISTS, ROUNDS = 32, 262_144, 16_384, 6
 #: Vectors of one list that one task compares; a larger list is dealt out over several.
 PART_ROWS = 8192
 TILE = 1024
+#: Rows that give a first bound; share of a tile's pairs below which candidates are worked on one by one.
+SEED_ROWS, DENSE = 256, 0.05
 
 
 def usable(vector: str, dim: int) -> Column:
@@ -93,18 +95,32 @@ def scan(query: np.ndarray, base: np.ndarray, same: np.ndarray, k: int, least: f
     q32, b32 = (query @ turn).astype(np.float32), (base @ turn).astype(np.float32)
     blocks = list(range(0, dim, BLOCK))
     tau = np.full(len(query), 2 - 2 * least + 1e-6, np.float32)
+    if len(base) > k:
+        # the k-th best among some rows bounds every query's distance from the start
+        seed = q32 @ b32[: max(SEED_ROWS, 4 * k)].T
+        known = np.flatnonzero((same >= 0) & (same < seed.shape[1]))
+        seed[known, same[known]] = -9
+        if seed.shape[1] > k:
+            tau = np.minimum(tau, 2 - 2 * np.partition(seed, -k, axis=1)[:, -k] + 1e-5)
     best_q, best_b, best_s = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     for lo in range(0, len(base), TILE):
         tile = b32[lo : lo + TILE]
-        a, t = q32[:, :BLOCK], tile[:, :BLOCK]
-        part = (a * a).sum(1)[:, None] + (t * t).sum(1)[None, :] - 2 * a @ t.T
-        i, j = np.nonzero(part <= _bound(tau, min(BLOCK, dim), dim)[:, None])
-        got = part[i, j]
-        for b in blocks[1:]:
-            diff = q32[i, b : b + BLOCK] - tile[j, b : b + BLOCK]
-            got = got + np.einsum("ij,ij->i", diff, diff)
-            keep = got <= _bound(tau[i], min(b + BLOCK, dim), dim)
-            i, j, got = i[keep], j[keep], got[keep]
+        part, i = None, None
+        for b in blocks:
+            stop = min(b + BLOCK, dim)
+            if i is None or len(i) > DENSE * part.size:
+                # many candidates are left: the whole tile by one multiplication
+                x, y = q32[:, b:stop], tile[:, b:stop]
+                more = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
+                part = more if part is None else part + more
+                live = part <= _bound(tau, stop, dim)[:, None]
+                i, j = np.nonzero(live)
+                got = None
+            else:
+                diff = q32[i, b:stop] - tile[j, b:stop]
+                got = (part[i, j] if got is None else got) + np.einsum("ij,ij->i", diff, diff)
+                keep = got <= _bound(tau[i], stop, dim)
+                i, j, got = i[keep], j[keep], got[keep]
         j = j + lo
         other = same[i] != j
         i, j = i[other], j[other]
