@@ -126,8 +126,8 @@ def _signatures(width: int, least_words: int, collections: int):
     return work
 
 
-def _pairs_of_buckets(keys: list[str]):
-    """Pairs of small buckets; rows of larger ones with a null partner."""
+def _pairs_of_buckets(keys: list[str], most: int):
+    """Pairs of buckets of up to ``most`` rows; rows of larger ones with a null partner."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys, least=50_000):
@@ -135,10 +135,10 @@ def _pairs_of_buckets(keys: list[str]):
             size = np.bincount(code)[code]
             bucket, doc = table.column("key").to_numpy(), table.column("id")
             bucket = np.ascontiguousarray(bucket)
-            large = np.flatnonzero(size > BUCKET)
+            large = np.flatnonzero(size > most)
             left, right = [large], [np.full(len(large), -1)]
-            for shift in range(1, BUCKET):
-                a = np.flatnonzero((size > shift) & (size <= BUCKET))
+            for shift in range(1, most):
+                a = np.flatnonzero((size > shift) & (size <= most))
                 a = a[a + shift < len(code)]
                 a = a[code[a] == code[a + shift]]
                 left.append(a)
@@ -155,7 +155,7 @@ def _pairs_of_buckets(keys: list[str]):
 
 def _bucketed(rows: DataFrame) -> DataFrame:
     """(key, a, b) from (key, id)."""
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_pairs_of_buckets(["key"]), "key long, a string, b string")
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_pairs_of_buckets(["key"], BUCKET), "key long, a string, b string")
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, least_words: int = 10, id_col: str = "id", title: str = "title", text: str = "text") -> DataFrame:
