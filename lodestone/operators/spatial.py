@@ -251,7 +251,7 @@ def _fit(layout: DataFrame) -> tuple[Quadtree, int]:
     sample = layout.sample(False, min(1.0, SAMPLE_ROWS / max(1, n)), 7).limit(2 * SAMPLE_ROWS).toArrow()
     lat, lon = (sample.column(c).to_numpy().astype(float) for c in ("lat", "lon"))
     ok = valid(lat, lon)
-    return Quadtree.fit(lat[ok], lon[ok]), n
+    return Quadtree.fit(lat[ok], lon[ok], LEAF_ROWS), n
 
 
 def match_regions(points: DataFrame, regions: DataFrame, keys: list[str], layout: DataFrame | None = None) -> DataFrame:
