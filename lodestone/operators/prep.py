@@ -91,3 +91,18 @@ def dense_ordinal(df: DataFrame, key: str) -> DataFrame:
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ranged.join(before.select("__p", "before"), "__p").withColumn("ordinal", F.col("__i") + F.col("before")).drop("__p", "__i", "before")
+
+
+def repeat(df: DataFrame, times: int) -> DataFrame:
+    """Every row so many times, with the number of the repetition; a narrow step."""
+    return df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))) if times > 0 else df.withColumn("round", F.lit(0)).limit(0)
+
+
+def delete_share(df: DataFrame, key: str, percent: int, seed: int = 1) -> DataFrame:
+    """Without about ``percent`` of the keys, always the same ones."""
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) >= percent)
+
+
+def sortable_hex(n: Column) -> Column:
+    """16 digits whose order as text is the order of the whole numbers."""
+    return F.lpad(F.lower(F.hex(n.cast("long").bitwiseXOR(F.lit(-(1 << 63))))), 16, "0")

@@ -73,3 +73,20 @@ def tie_groups(hits: DataFrame, keys: list[str], order: str, score: str, doc: st
     new = F.coalesce((F.lag(score).over(w) != F.col(score)).cast("int"), F.lit(1))
     g = hits.withColumn("__new", new).withColumn("tie", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return g.groupBy(*keys, "tie").agg(F.first(score).alias(score), F.array_sort(F.collect_list(doc)).alias("docs"))
+
+
+def settled(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """keys, n, mean, stdev: without the first tenth (1 to 10 rows) and the worst 2 % of each group."""
+    w = Window.partitionBy(*keys)
+    rows = df.withColumn("__i", F.row_number().over(w.orderBy(order))).withColumn("__n", F.count("*").over(w))
+    rows = rows.where(F.col("__i") > F.least(F.lit(10), F.greatest(F.lit(1), F.floor(F.col("__n") / 10))))
+    rows = rows.withColumn("__r", F.row_number().over(w.orderBy(value, order))).withColumn("__m", F.count("*").over(w))
+    kept = rows.where(F.col("__r") <= F.col("__m") - F.floor(F.col("__m") * 0.02))
+    return kept.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("stdev"))
+
+
+def compare_lists(a: DataFrame, b: DataFrame, query: str, items: str) -> DataFrame:
+    """(query, kind): queries whose result lists are missing, extra or different in b."""
+    x, y = a.select(query, F.col(items).alias("x")), b.select(query, F.col(items).alias("y"))
+    kind = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").when(F.col("x") != F.col("y"), "different")
+    return x.join(y, query, "full").select(query, kind.alias("kind")).where("kind is not null")

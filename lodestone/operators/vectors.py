@@ -230,3 +230,45 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     else:
         raise RuntimeError(f"not settled after {rounds} rounds")
     return now
+
+
+def sampled_distances(docs: DataFrame, vector: str, key: str, sample: int = 1000) -> DataFrame:
+    """(bucket, pairs): histogram of dot products over all pairs of a bounded sample by key hash, in steps of 0.05."""
+    rows = docs.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key), key).select(key, vector).limit(sample)
+    queries = rows.select(F.col(key).alias("query_id"), vector)
+    pairs = knn(rows, queries, 0, "dot", key, vector, "query_id", least=float("-inf")).where(F.col("query_id") < F.col(key))
+    return pairs.groupBy(F.round(F.floor((F.col("score") * 2 - 1) / 0.05) * 0.05, 2).alias("bucket")).agg(F.count("*").alias("pairs"))
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """(id, component): strongly connected components, named by their smallest id.
+
+    Forward and backward minimum labels are propagated among the nodes not yet settled; nodes
+    whose two labels agree form components and are taken out, and the rest goes on.
+    """
+    from lodestone.runtime import materialise
+
+    left, done = materialise(nodes.select("id").distinct()), None
+    arcs = materialise(edges.select("src", "dst").where("src != dst").distinct())
+
+    def spread(ids: DataFrame, own: DataFrame, a: str, b: str) -> DataFrame:
+        now = materialise(ids.select("id", F.col("id").alias("m")))
+        for _ in range(rounds):
+            best = own.join(now, F.col(a) == F.col("id")).groupBy(b).agg(F.min("m").alias("n"))
+            new = now.join(best, F.col("id") == F.col(b), "left").select("id", F.col("m").alias("old"), F.least("m", F.coalesce("n", "m")).alias("m"))
+            new = materialise(new)
+            now = new.select("id", "m")
+            if not new.where("old != m").limit(1).count():
+                return now
+        raise RuntimeError(f"not settled after {rounds} rounds")
+
+    for _ in range(rounds):
+        if not left.limit(1).count():
+            break
+        own = arcs.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi")
+        both = spread(left, own, "src", "dst").withColumnRenamed("m", "f").join(spread(left, own, "dst", "src").withColumnRenamed("m", "b"), "id")
+        both = materialise(both)
+        found = both.where("f = b").select("id", F.col("f").alias("component"))
+        done = found if done is None else done.unionByName(found)
+        left = both.where("f != b").select("id")
+    return done if done is not None else nodes.select("id", F.col("id").alias("component")).limit(0)

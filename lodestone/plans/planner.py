@@ -61,6 +61,14 @@ def bm25(tf: Column, length: Column, df: int, n: int, avg: float) -> Column:
     return F.when(tf > 0, F.lit(idf) * tf / (tf + norm)).otherwise(0.0)
 
 
+def classic_weight(tf: Column, length: Column, df: int, n: int) -> Column:
+    """Square-root frequency, squared inverse document frequency, length norm."""
+    import math
+
+    idf = 1 + math.log((n + 1) / (df + 1))
+    return F.when(tf > 0, F.sqrt(tf.cast("double")) * F.lit(idf * idf) / F.sqrt(length.cast("double"))).otherwise(0.0)
+
+
 def terms_of(node: q.Node) -> set[tuple[str, str]]:
     """(field, term) pairs whose statistics the score needs."""
     if isinstance(node, q.Term):
@@ -190,7 +198,9 @@ def score(node: q.Node, stats: dict) -> Column:
     """The relevance of a matching row."""
     if isinstance(node, q.Term):
         n, avg = stats[node.field]
-        own = bm25(frequency(_f(node.field), node.term), F.size(_f(node.field)), stats[(node.field, node.term)], n, avg)
+        tf, length, df = frequency(_f(node.field), node.term), F.size(_f(node.field)), stats[(node.field, node.term)]
+        kind = stats.get("similarity", "bm25")
+        own = classic_weight(tf, length, df, n) if kind == "classic" else F.when(tf > 0, 1.0).otherwise(0.0) if kind == "boolean" else bm25(tf, length, df, n, avg)
         return F.coalesce(own, F.lit(0.0))
     if isinstance(node, q.Phrase):
         # an exact phrase's frequency with the sum of its terms' weights
@@ -230,10 +240,10 @@ def hits(corpus: Corpus, node: q.Node) -> DataFrame:
     return corpus.analysed().where(match(node))
 
 
-def search(corpus: Corpus, node: q.Node, top: int | None = 100) -> DataFrame:
-    """(id, score): the best documents; equal rounded scores by id."""
+def search(corpus: Corpus, node: q.Node, top: int | None = 100, similarity: str = "bm25") -> DataFrame:
+    """(id, score): the best documents; equal rounded scores by id. ``similarity``: bm25, classic or boolean, for terms."""
     need = terms_of(node)
-    stats = corpus.stats(need) if need else {}
+    stats = (corpus.stats(need) if need else {}) | {"similarity": similarity}
     found = hits(corpus, node).select(F.col(corpus.id), F.round(score(node, stats), 6).alias("score"))
     return found.orderBy(F.desc("score"), corpus.id).limit(top) if top is not None else found
 

@@ -214,3 +214,16 @@ def sparse_or_range(spark, sf):
 def sort_double(spark, sf):
     own = trips(spark, sf).where(F.col("pickup_longitude").between(-180, 180) & ~F.isnan("pickup_longitude"))
     return own.orderBy("pickup_longitude", "trip_id").limit(20).select("trip_id", "pickup_longitude")
+
+
+@query("WITH a AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), b AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS m FROM a WHERE i > least(10, greatest(1, n // 10))) SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stdev FROM b WHERE r <= m - floor(m * 0.02) GROUP BY event_type")
+def reopen_stats(spark, sf):
+    s = stats.settled(table(spark, sf, "events").select("event_type", "event_id", "value"), ["event_type"], "event_id", "value")
+    return s.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"))
+
+
+@query("WITH a AS (SELECT username AS q, list(doc_id ORDER BY doc_id) AS x FROM documents WHERE username IS NOT NULL GROUP BY 1), b AS (SELECT username AS q, list(doc_id ORDER BY doc_id) AS y FROM documents WHERE username IS NOT NULL AND doc_id % 7 <> 0 GROUP BY 1) SELECT q, CASE WHEN y IS NULL THEN 'missing' ELSE 'different' END AS kind FROM a LEFT JOIN b USING (q) WHERE y IS NULL OR x <> y")
+def compare_results(spark, sf):
+    lists = lambda d: d.groupBy(F.col("username").alias("q")).agg(F.array_sort(F.collect_list("doc_id")).alias("l"))
+    d = table(spark, sf, "documents").select("doc_id", "username").where("username is not null")
+    return stats.compare_lists(lists(d), lists(d.where("doc_id % 7 != 0")), "q", "l")

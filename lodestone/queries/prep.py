@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import prep
 from lodestone.queries.registry import query
+from lodestone.runtime import shared_dir
+from lodestone.sources import writers
 from lodestone.tables import table
 
 
@@ -136,3 +140,33 @@ def group_fields(spark, sf):
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_field(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT doc_id, r.round FROM documents, range(3) AS r(round)")
+def repeated_source(spark, sf):
+    return prep.repeat(table(spark, sf, "documents").select("doc_id"), 3)
+
+
+@query()
+def delete_random_5pct(spark, sf):
+    return prep.delete_share(table(spark, sf, "documents").select("doc_id"), "doc_id", 5)
+
+
+@query("SELECT event_id FROM events WHERE user_id - 50 BETWEEN -20 AND 10")
+def encoded_range(spark, sf):
+    """A range over numbers encoded as sortable text gives what the range over the numbers gives."""
+    code = lambda n: prep.sortable_hex(F.lit(n))
+    return table(spark, sf, "events").where(prep.sortable_hex(F.col("user_id") - 50).between(code(-20), code(10))).select("event_id")
+
+
+@query()
+def disk_usage(spark, sf):
+    return writers.disk_usage(table(spark, sf, "documents"))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
+def index_sort(spark, sf):
+    """Written in order of the date, so that a range of dates reads few files."""
+    path = f"{shared_dir(spark)}/sorted-{uuid.uuid4().hex}"
+    writers.write_sorted(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), path, "o_orderdate")
+    return spark.read.parquet(path).where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))

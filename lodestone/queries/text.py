@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import collect
+from lodestone.operators import collect, tasks
 from lodestone.plans import dsl, planner
 from lodestone.plans import spec as q
 from lodestone.queries.registry import query
@@ -418,3 +418,28 @@ def random_label(spark, sf):
     w = tx.tokens(F.col("text"))
     pick = F.element_at(w, (F.pmod(F.xxhash64("doc_id"), F.size(w)) + 1).cast("int"))
     return table(spark, sf, "documents").select("doc_id", F.when(F.size(w) > 0, pick).alias("label"))
+
+
+_CL = f"sqrt({tf('segment')}) * power(1 + ln((st.n + 1) / (st.df_segment + 1)), 2) / sqrt(len(w))"
+
+
+@query(top_sql(has("segment"), _CL, ["segment"]))
+def classic_top10(spark, sf):
+    return planner.search(docs(spark, sf), T("segment"), 10, "classic")
+
+
+@query(f"WITH {D} SELECT doc_id, CAST({' + '.join(f'CAST({has(t)} AS INTEGER)' for t in ('segment', 'latency'))} AS DOUBLE) AS score FROM d WHERE {has('segment')} OR {has('latency')} ORDER BY score DESC, doc_id LIMIT 10")
+def boolean_top10(spark, sf):
+    return planner.search(docs(spark, sf), dsl.classic("segment latency"), 10, "boolean")
+
+
+@query(f"WITH {D}, h AS (SELECT doc_id FROM d WHERE {has('segment')} ORDER BY doc_id LIMIT 10) SELECT doc_id, source, username FROM documents JOIN h USING (doc_id)")
+def stored_fields(spark, sf):
+    """The stored fields of hits: an equi-join of ten ids with the documents."""
+    h = planner.hits(docs(spark, sf), T("segment")).select("doc_id").orderBy("doc_id").limit(10)
+    return table(spark, sf, "documents").select("doc_id", "source", "username").join(h, "doc_id", "left_semi")
+
+
+@query()
+def generated_tasks(spark, sf):
+    return tasks.generate(collect.document_frequencies(table(spark, sf, "documents").select("text"), "text"))

@@ -175,3 +175,16 @@ def graph_components(spark, sf):
 @query("SELECT fanout, count(*) AS nodes FROM (SELECT l_orderkey, count(*) AS fanout FROM lineitem GROUP BY l_orderkey) GROUP BY fanout")
 def graph_fanout(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("fanout")).groupBy("fanout").agg(F.count("*").alias("nodes"))
+
+
+@query()
+def sampled_distances(spark, sf):
+    return v.sampled_distances(_e(spark, sf), "embedding", "vec_id", 500)
+
+
+@query("WITH RECURSIVE n AS (SELECT r_regionkey AS id FROM region), e AS (SELECT id AS src, (id + 1) % 3 AS dst FROM n WHERE id < 3 UNION SELECT id, id + 1 FROM n WHERE id BETWEEN 2 AND 3), r AS (SELECT id AS a, id AS b FROM n UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT r.a AS id, min(r.b) AS component FROM r JOIN r s ON r.a = s.b AND r.b = s.a GROUP BY r.a")
+def graph_strong_components(spark, sf):
+    n = table(spark, sf, "region").select(F.col("r_regionkey").alias("id"))
+    i = F.col("id")
+    e = n.where("id < 3").select(i.alias("src"), ((i + 1) % 3).alias("dst")).unionByName(n.where("id between 2 and 3").select(i.alias("src"), (i + 1).alias("dst")))
+    return v.strong_components(n, e)
