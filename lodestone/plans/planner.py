@@ -8,6 +8,7 @@ so a search is one scan, a filter and a top-k, without a shuffle. The collection
 from __future__ import annotations
 
 import re
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -84,8 +85,26 @@ def terms_of(node: q.Node) -> set[tuple[str, str]]:
     return set()
 
 
+#: Within a predicate: the analysed fields as bound variables, see ``hits``.
+_BOUND: ContextVar[dict[str, Column] | None] = ContextVar("bound", default=None)
+
+
 def _f(name: str) -> Column:
-    return F.col(f"__{name}")
+    bound = _BOUND.get()
+    return bound[name] if bound is not None else F.col(f"__{name}")
+
+
+def fields_of(node: q.Node) -> set[str]:
+    """The analysed fields that the match of a query looks at."""
+    if isinstance(node, q.Bool):
+        return set().union(*[fields_of(x) for x in node.must + node.should + node.must_not + node.filter])
+    if isinstance(node, q.DisMax):
+        return set().union(*[fields_of(x) for x in node.queries])
+    if isinstance(node, q.Constant):
+        return fields_of(node.query)
+    if isinstance(node, q.Combined):
+        return {f for f, _ in node.fields}
+    return {node.field} if hasattr(node, "field") else set()
 
 
 def _or(xs: list[Column]) -> Column:
@@ -105,30 +124,57 @@ def _less(n: int):
     return lambda x: x - n
 
 
+def _let(values: list[Column], body) -> Column:
+    """``body`` over values that are worked out once a row, not once a use: bound as the fields of a struct."""
+    bound = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.element_at(F.transform(F.array(bound), lambda s: body([s[f"v{i}"] for i in range(len(values))])), 1)
+
+
+def _all_there(words: Column, groups) -> Column:
+    """A cheap first test: every group has a word in the text."""
+    return _and([F.arrays_overlap(words, F.array(*[F.lit(t) for t in g])) for g in groups])
+
+
 def ordered_width(words: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
     """Width of the shortest interval that holds the groups in order; null if there is none."""
-    rest = [positions(words, list(g)) for g in groups[1:]]
 
-    def width(p: Column) -> Column:
-        at = p
-        for later in rest:
-            at = F.array_min(F.filter(later, _beyond(at)))
-        return at - p + 1
+    def shortest(at: list[Column]) -> Column:
+        def width(p: Column) -> Column:
+            end = p
+            for later in at[1:]:
+                end = F.array_min(F.filter(later, _beyond(end)))
+            return end - p + 1
+
+        return F.array_min(F.transform(at[0], width))
+
+    return F.when(_all_there(words, groups), _let([positions(words, list(g)) for g in groups], shortest))
 
-    return F.array_min(F.transform(positions(words, list(groups[0])), width))
+
+def exact_phrase(words: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    """Whether the groups stand at successive positions."""
+    following = [list(g) for g in groups[1:]]
+    hit = lambda p: _and([F.coalesce(F.get(words, p + i + 1).isin(*g), F.lit(False)) for i, g in enumerate(following)] or [F.lit(True)])
+    return _all_there(words, groups) & F.exists(positions(words, list(groups[0])), hit)
 
 
 def phrase_spread(words: Column, terms: tuple[str, ...]) -> Column:
     """Smallest spread of displacements over one position for each term; 0 is the exact phrase, null none."""
+
+    def spread(moved: list[Column]) -> Column:
+        def over(x: Column) -> Column:
+            # with x as the smallest displacement, every other term takes its nearest one from x on
+            reach = [F.array_min(F.filter(m, _from(x))) for m in moved]
+            whole = reduce(lambda a, b: a & b, [r.isNotNull() for r in reach])
+            return F.when(whole, F.greatest(*reach) - x) if len(reach) > 1 else F.lit(0)
+
+        return F.array_min(F.transform(F.flatten(F.array(*moved)), over))
+
     moved = [F.transform(positions(words, t), _less(i)) for i, t in enumerate(terms)]
+    return F.when(_all_there(words, [(t,) for t in terms]), _let(moved, spread))
 
-    def spread(x: Column) -> Column:
-        # with x as the smallest displacement, every other term takes its nearest one from x on
-        reach = [F.array_min(F.filter(m, lambda y: y >= x)) for m in moved]
-        whole = reduce(lambda a, b: a & b, [r.isNotNull() for r in reach])
-        return F.when(whole, F.greatest(*reach) - x) if len(reach) > 1 else F.lit(0)
 
-    return F.array_min(F.transform(F.flatten(F.array(*moved)), spread))
+def _from(x: Column):
+    return lambda y: y >= x
 
 
 def within_edits(word: Column, term: str, edits: int) -> Column:
@@ -151,12 +197,12 @@ def match(node: q.Node) -> Column:
         return _and(parts) if parts else F.lit(False)
     if isinstance(node, q.Constant):
         return match(node.query)
+    if isinstance(node, q.Phrase) and not node.slop:
+        return F.coalesce(exact_phrase(_f(node.field), tuple((t,) for t in node.terms)), F.lit(False))
     if isinstance(node, q.Phrase):
         return F.coalesce(phrase_spread(_f(node.field), node.terms) <= node.slop, F.lit(False))
     if isinstance(node, q.MultiPhrase):
-        words, later = _f(node.field), [list(g) for g in node.terms[1:]]
-        hit = F.exists(positions(words, list(node.terms[0])), lambda p: _and([F.coalesce(F.get(words, p + i + 1).isin(*g), F.lit(False)) for i, g in enumerate(later)] or [F.lit(True)]))
-        return F.coalesce(hit, F.lit(False))
+        return F.coalesce(exact_phrase(_f(node.field), node.terms), F.lit(False))
     if isinstance(node, q.Ordered):
         return F.coalesce(ordered_width(_f(node.field), node.terms) <= node.width, F.lit(False))
     if isinstance(node, q.Near):
@@ -235,9 +281,40 @@ def score(node: q.Node, stats: dict) -> Column:
     return F.lit(1.0)
 
 
+def conjuncts(node: q.Node) -> list[q.Node]:
+    """Parts that must all match; what can't be split stays whole."""
+    if isinstance(node, q.Bool) and not node.should and not node.must_not and node.must + node.filter:
+        return [y for x in node.must + node.filter for y in conjuncts(x)]
+    if isinstance(node, q.Bool) and node.filter and node.must + node.should:
+        return [q.Bool(node.must, node.should, node.must_not, (), node.least), *[y for x in node.filter for y in conjuncts(x)]] if node.must or node.least else [node]
+    return [node]
+
+
 def hits(corpus: Corpus, node: q.Node) -> DataFrame:
-    """Matching documents; Catalyst drops what the caller does not use."""
-    return corpus.analysed().where(match(node))
+    """Matching documents; Catalyst drops what the caller does not use.
+
+    Conditions on plain columns stand alone and reach the scan. Conditions on words are put as one
+    expression that binds the token arrays first: pushed down as it is, a bare reference would be
+    replaced by the analysis itself at every place where it is used.
+    """
+    parts = conjuncts(node)
+    out = corpus.docs
+    for x in parts:
+        if not fields_of(x):
+            out = out.where(match(x))
+    out = Corpus(out, corpus.id, corpus.fields).analysed()
+    for x in parts:
+        if names := sorted(fields_of(x)):
+            out = out.where(_let([F.col(f"__{f}") for f in names], lambda bound, x=x, names=names: _bound_match(x, dict(zip(names, bound)))))
+    return out
+
+
+def _bound_match(node: q.Node, fields: dict[str, Column]) -> Column:
+    token = _BOUND.set(fields)
+    try:
+        return match(node)
+    finally:
+        _BOUND.reset(token)
 
 
 def search(corpus: Corpus, node: q.Node, top: int | None = 100, similarity: str = "bm25") -> DataFrame:
