@@ -188,7 +188,7 @@ def test_drift_matches_the_plain_reading(spark):
 def test_one_table_and_lifespans(spark):
     raw = spark.createDataFrame(_raw(), RAW)
     out = drift.one_table(raw)
-    assert out.count() == 14 and {"a", "bb", "c"} <= set(out.columns)
+    assert out.count() == 14 and {"a", "bb", "d"} <= set(out.columns)
     first = {r["record_no"]: r for r in out.where("file_id = 1").collect()}
     assert first[0]["bb"] == 2.0
     spans = {(r["suite_id"], r["field_name"], r["first_file"], r["last_file"]) for r in drift.lifespans(raw).collect()}
