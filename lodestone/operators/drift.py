@@ -15,6 +15,8 @@ types differs.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,6 +149,37 @@ def changes(raw: DataFrame) -> DataFrame:
     return out.select("file_id", "field_name", F.col("what").alias("change_kind"))
 
 
+NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,3})?"
+#: The texts that say a number: plain or about, alone in an array; and those with the unit ms.
+SAYS_NUMBER = rf"^\s*~?\s*({NUMBER})\s*$|^\[({NUMBER})\]$"
+SAYS_MS = rf'^\s*~?\s*({NUMBER})\s*ms\s*$|^\{{"unit":"ms","value":({NUMBER})\}}$'
+#: A name that ends in another unit contradicts ms.
+OTHER_UNIT = re.compile(r"(?:^|[^a-z])(?:s|secs?|seconds?|us|ns|min|bytes|kb|mb|gb)$|[a-z](?:Sec|Mb|Gb|Kb)$", re.I)
+
+
+def as_text(v: Column) -> Column:
+    """The text of any value but JSON null; arrays and objects as JSON."""
+    return F.when(~F.is_variant_null(v), F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+
+
+def as_number(v: Column, units: bool) -> Column:
+    """The finite double that a value says, null if it says none; whole numbers only where a double is exact."""
+    text, double = as_text(v), F.try_variant_get(v, "$", "double")
+    said = [F.nullif(F.regexp_extract(text, form, i), F.lit("")) for form in (SAYS_NUMBER, SAYS_MS)[: 1 + units] for i in (1, 2)]
+    exact = ~F.startswith(F.schema_of_variant(v), F.lit("BIGINT")) | (F.abs(double) < 2.0**53)
+    out = F.when(json_type(v) == "number", F.when(exact, double)).when(json_type(v) != "boolean", F.coalesce(*said).try_cast("double"))
+    return F.when(F.abs(out) < float("inf"), out)
+
+
+def _casts(raw: DataFrame) -> DataFrame:
+    """By field_name over all its values: bad (no number), bad_ms (none with the unit ms either), other (not written as a JSON number)."""
+    flat = records(raw).select(F.explode("fields").alias("field_name", "v")).where(~F.is_variant_null("v"))
+    count = lambda c: F.sum(c.cast("long"))
+    return flat.groupBy("field_name").agg(
+        count(as_number(F.col("v"), False).isNull()).alias("bad"), count(as_number(F.col("v"), True).isNull()).alias("bad_ms"),
+        count(F.coalesce(json_type(F.col("v")) != "number", F.lit(True))).alias("other"))
+
+
 #: Names that a group of aliases goes by if it holds one of them.
 PREFERRED = ("net_cpu_ms", "avg_cpu_core_count")
 #: Field names are metadata; a catalogue with more distinct names than this is refused.
@@ -154,9 +187,11 @@ MAX_NAMES = 20_000
 
 
 def aliases(raw: DataFrame) -> list[dict]:
-    """The alias table: canonical, kind (double, boolean or string) and names, newest first.
+    """The alias table: canonical, kind (double, boolean or string), units, raw and names, newest first.
 
-    Names that ever stand in one file together are different fields and never merged.
+    Names that ever stand in one file together are different fields and never merged. A group with
+    numbers is double only if every value of all its rows says a number; ``units`` tells that ms may
+    follow it, ``raw`` that some value is written otherwise than as a JSON number.
     """
     cat = catalogue(raw)
     named = cat.where("field_name is not null").groupBy("field_name").agg(
@@ -164,6 +199,7 @@ def aliases(raw: DataFrame) -> list[dict]:
     names = {r["field_name"]: r for r in named.limit(MAX_NAMES + 1).collect()}
     if len(names) > MAX_NAMES:
         raise ValueError(f"more than {MAX_NAMES} field names")
+    casts = {r["field_name"]: r for r in _casts(raw).collect()}
     log = _log(raw)
     edges = _renames(raw, log).groupBy("lost", "new").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "lost", "new").collect()
     ends = sorted({x for e in edges for x in (e["lost"], e["new"])})
@@ -185,26 +221,43 @@ def aliases(raw: DataFrame) -> list[dict]:
         seen |= set(members)
         canonical = next((p for p in PREFERRED if p in members), members[0])
         types = {t for m in members for t in names[m]["types"]}
-        kind = "boolean" if types == {"boolean"} else "double" if types and types <= {"number", "string"} and "number" in types else "string"
-        out.append({"canonical": canonical, "kind": kind, "names": members})
+        units = not any(OTHER_UNIT.search(m) for m in members)
+        told = [casts[m] for m in members if m in casts]
+        kind = "boolean" if types == {"boolean"} else "double" if "number" in types and not any(c["bad_ms" if units else "bad"] for c in told) else "string"
+        out.append({"canonical": canonical, "kind": kind, "units": units, "raw": kind == "double" and any(c["other"] for c in told), "names": members})
     return sorted(out, key=lambda x: x["canonical"])
 
 
 def one_table(raw: DataFrame) -> DataFrame:
-    """All valid records once, under canonical names and types; a value its type cannot hold is null.
+    """All valid records once, under canonical names and types; no value but JSON null becomes null.
 
-    Names that differ only in case, or clash with the key columns, get a number at their end.
+    A double column with values that are written otherwise (``'~1.5'``, ``'3 ms'``, ``[7]``) has
+    their texts beside it, in a column whose name ends in ``_raw``. Names that differ only in case,
+    or clash with the key columns, get a number at their end.
     """
     plan = aliases(raw)
-    taken = {"suite_id", "file_id", "record_no", "run_key"}
-    columns = []
-    for a in plan:
-        name, n = a["canonical"], 1
+    keys = ["suite_id", "file_id", "record_no", "run_key"]
+    taken = set(keys)
+
+    def free(wanted: str) -> str:
+        name, n = wanted, 1
         while name.lower() in taken:
             n += 1
-            name = f"{a['canonical']}_{n}"
+            name = f"{wanted}_{n}"
         taken.add(name.lower())
-        value = F.coalesce(*[F.try_variant_get(F.try_element_at("fields", F.lit(x)), "$", "string") for x in a["names"]])
-        columns.append((value.try_cast(a["kind"]) if a["kind"] != "string" else value).alias(name))
+        return name
+
+    names = [free(a["canonical"]) for a in plan]
+    variants, columns = [], []
+    for i, (a, name) in enumerate(zip(plan, names)):
+        values = [F.try_element_at("fields", F.lit(x)) for x in a["names"]]
+        variants.append(F.coalesce(*[F.when(~F.is_variant_null(x), x) for x in values]).alias(f"v{i}"))
+        v = F.col(f"v{i}")
+        if a["kind"] == "double":
+            columns.append(as_number(v, a["units"]).alias(name))
+        else:
+            columns.append(as_text(v).try_cast(a["kind"]).alias(name))
+        if a["raw"]:
+            columns.append(as_text(v).alias(free(f"{a['canonical']}_raw")))
     once = records(raw.where("record_no is not null").dropDuplicates(["file_id", "record_no"]))
-    return once.select("suite_id", "file_id", "record_no", "run_key", *columns)
+    return once.select(*keys, *variants).select(*keys, *columns)

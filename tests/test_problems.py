@@ -195,3 +195,18 @@ def test_one_table_and_lifespans(spark):
     assert ("t", "x", 7, 7) in spans and ("t", "x", 9, 9) in spans
     none = raw.limit(0)
     assert drift.changes(none).count() == 0 and drift.one_table(none).count() == 0
+
+
+def test_one_table_keeps_every_value(spark):
+    docs = [{"rev": "6f3a", "cpu_ms": 1.5, "cores": 2, "t_sec": 3.0, "big": 2**60 + 1, "m": True, "o": 1.0, "z": None}]
+    docs += [{"rev": 19, "cpu_ms": "2.5 ms", "cores": "~12.394", "t_sec": {"value": 4, "unit": "ms"}, "big": "1", "m": "yes", "o": [1, 2], "z": 1}]
+    docs += [{"rev": "12e9999", "cpu_ms": {"value": 3.5, "unit": "ms"}, "cores": [4], "t_sec": "5", "big": 2, "m": [False], "o": {"p": 1}, "z": 2}]
+    rows = [(i + 1, "s", i + 1, T0, 0, "r", json.dumps(d), "x") for i, d in enumerate(docs)]
+    out = drift.one_table(spark.createDataFrame(rows, RAW))
+    got = {r["file_id"]: r.asDict() for r in out.collect()}
+    for i, d in enumerate(docs):
+        assert [k for k in d if (got[i + 1][k] is None) != (d[k] is None)] == []
+    types = dict(out.dtypes)
+    assert [k for k in docs[0] if types[k] == "double"] == ["cpu_ms", "cores", "z"] and "z_raw" not in types
+    assert [got[i]["cpu_ms"] for i in (1, 2, 3)] == [1.5, 2.5, 3.5] and [got[i]["cores"] for i in (1, 2, 3)] == [2.0, 12.394, 4.0]
+    assert got[2]["cores_raw"] == "~12.394" and got[2]["rev"] == "19" and got[1]["big"] == str(2**60 + 1)
