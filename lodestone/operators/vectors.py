@@ -1,7 +1,7 @@
 """Vector operators: similarities, exact k-nearest search, quantisation, quality checks.
 
-Exact search with a bounded set of queries multiplies blocks of vectors with the query matrix in
-Arrow batches, keeps k a batch and query, and ranks those; the vectors themselves never move.
+Exact search multiplies blocks of vectors with a matrix of queries in Arrow batches, keeps k a
+task and query, and ranks those; the vectors themselves never move.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The set of queries is a parameter of the caller; more than this is refused.
+#: Queries of one pass over the vectors; more are taken in blocks of so many.
 MAX_QUERIES = 4096
+#: Scores that a task holds at a time.
+MAX_SCORES = 2_000_000
 METRICS = ("dot", "cosine", "euclidean", "mip", "angular")
 
 
@@ -66,42 +68,90 @@ def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(metric)
 
 
-def knn(docs: DataFrame, queries: DataFrame, k: int, metric: str = "dot", key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", least: float | None = None) -> DataFrame:
-    """(query, key, score): the k best of every query, ties to the smaller key; null vectors drop out.
+def knn(docs: DataFrame, queries: DataFrame, k: int, metric: str = "dot", key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", least: float | None = None, parent: str | None = None) -> DataFrame:
+    """(query, key, score): the k best of every query, ties to the smaller key; null vectors and undefined scores drop out.
 
-    With ``least`` every vector that reaches the score is given instead of the k best.
+    With ``least`` every vector that reaches the score is given instead of the k best; with
+    ``parent`` the best vector of each parent (query, key, parent, score), and no k.
     """
-    rows = queries.where(F.col(vector).isNotNull()).select(query_key, vector).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
+    rows = queries.where(F.col(vector).isNotNull()).select(query_key, vector).collect()
+    blocks = [rows[i : i + MAX_QUERIES] for i in range(0, len(rows), MAX_QUERIES)] or [[]]
+    found = None
+    for some in blocks:
+        part = _knn_block(docs, some, queries.schema[query_key].dataType.simpleString(), k, metric, key, vector, query_key, least, parent)
+        found = part if found is None else found.unionByName(part)
+    if parent is not None:
+        best = F.row_number().over(Window.partitionBy(query_key, parent).orderBy(F.desc("score"), key))
+        return found.withColumn("rank", best).where(F.col("rank") == 1).drop("rank")
+    if least is not None:
+        return found
+    best = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
+    return found.withColumn("rank", best).where(F.col("rank") <= k)
+
+
+def _knn_block(docs: DataFrame, rows: list, query_type: str, k: int, metric: str, key: str, vector: str, query_key: str, least: float | None, parent: str | None) -> DataFrame:
     names = [r[0] for r in rows]
     matrix = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    types = {c: docs.schema[key if c == "k" else vector].dataType.simpleString() for c in ("k", "v")}
-    query_type = queries.schema[query_key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)
+    shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
+    columns = [key, *([parent] if parent is not None else [])]
+    schema = f"{query_key} {query_type}, " + "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in columns) + "score double"
+    step = max(1, MAX_SCORES // max(1, len(rows)))
 
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
+    def pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
         for batch in batches:
-            v = batch.column(1)
-            fits = np.flatnonzero(pa.compute.equal(pa.compute.list_value_length(v), q.shape[1]).fill_null(False).to_numpy(zero_copy_only=False)) if len(q) else np.zeros(0, int)
-            if not len(fits):
-                continue
-            x = v.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
+            v = batch.column(0)
+            fits = np.flatnonzero(pa.compute.equal(pa.compute.list_value_length(v), width).fill_null(False).to_numpy(zero_copy_only=False))
+            for i in range(0, len(fits), step):
+                at = pa.array(fits[i : i + step])
+                yield v.take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width), [c.take(at) for c in batch.columns[1:]]
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        if not len(ids):
+            return
+        ids = pa.array(ids)
+        held: list[pa.Array] = []  # the values of columns
+        hj, hs = np.zeros(0, np.int64), np.zeros(0)  # their queries and scores
+        floor = np.full(len(q), -np.inf if least is None else least)
+        out = lambda j, values, s: pa.RecordBatch.from_arrays([ids.take(pa.array(j)), *values, pa.array(s)], names=[query_key, *columns, "score"])
+        for x, values in pieces(batches, q.shape[1]):
             s = np.round(_scores(x, q, metric), 9)
-            keys = batch.column(0).take(pa.array(fits))
+            s[np.isnan(s)] = -np.inf
+            low = floor
+            if least is None and parent is None and len(s) > k:
+                low = np.maximum(floor, np.partition(s, len(s) - k, axis=0)[len(s) - k])
+            i, j = np.nonzero((s >= low) & (s > -np.inf))
+            if parent is not None:  # the rows of a parent together, the best of each
+                code = values[1].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                order = np.lexsort((np.unique(values[0].to_numpy(zero_copy_only=False), return_inverse=True)[1], code))
+                starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+                i = np.concatenate([order[a:b][s[order[a:b]].argmax(axis=0)] for a, b in zip(starts, [*starts[1:], len(order)])])
+                j = np.tile(np.arange(len(q)), len(starts))
+                i, j = i[ok := s[i, j] > -np.inf], j[ok]
+            new = [c.take(pa.array(i)) for c in values]
             if least is not None:
-                i, j = np.nonzero(s >= least)
-            else:
-                order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(keys.to_numpy(zero_copy_only=False)))[:, None], s.shape), -s), axis=0)[:k]
-                i, j = order.ravel(), np.tile(np.arange(len(q)), len(order))
-            yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in j]), keys.take(pa.array(i)), pa.array(s[i, j])], names=[query_key, key, "score"])
-
-    found = docs.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(block, f"{query_key} {query_type}, {key} {types['k']}, score double")
-    if least is not None:
-        return found
-    best = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-    return found.withColumn("rank", best).where(F.col("rank") <= k)
+                yield out(j, new, s[i, j])
+                continue
+            held = [pa.concat_arrays([a, b]) for a, b in zip(held, new)] if held else new
+            hj, hs = np.r_[hj, j], np.r_[hs, s[i, j]]
+            # the best k of each query, or of each query and parent, stay
+            tie = np.unique(held[0].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            group = held[1].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) if parent is not None else np.zeros(len(hj), np.int64)
+            order = np.lexsort((tie, -hs, group, hj))
+            oj, og = hj[order], group[order]
+            first = np.flatnonzero(np.r_[True, (np.diff(oj) != 0) | (np.diff(og) != 0)][: len(oj)])
+            nth = np.arange(len(oj)) - np.repeat(first, np.diff(np.r_[first, len(oj)]))
+            order = order[nth < (k if parent is None else 1)]
+            held, hj, hs = [c.take(pa.array(order)) for c in held], hj[order], hs[order]
+            if parent is None:
+                full = np.bincount(hj, minlength=len(q)) >= k
+                floor = np.full(len(q), -np.inf)
+                np.minimum.at(worst := np.full(len(q), np.inf), hj, hs)
+                floor[full] = worst[full]
+        if held:
+            yield out(hj, held, hs)
+
+    return docs.where(F.col(vector).isNotNull()).select(vector, *columns).mapInArrow(block, schema)
 
 
 def best_per_parent(scored: DataFrame, query_key: str, parent: str, k: int) -> DataFrame:
@@ -122,7 +172,7 @@ def rerank(docs: DataFrame, queries: DataFrame, k: int, oversample: float, bits:
     """k best by exact score among the k * oversample best by quantised vectors."""
     rough = docs.select(key, quantised(F.col(vector), bits).alias(vector))
     candidates = knn(rough, queries, int(k * oversample), metric, key, vector, query_key).select(query_key, key)
-    own = candidates.join(docs.select(key, F.col(vector).alias("__v")), key).join(F.broadcast(queries.select(query_key, F.col(vector).alias("__q")).limit(MAX_QUERIES)), query_key)
+    own = candidates.join(docs.select(key, F.col(vector).alias("__v")), key).join(queries.select(query_key, F.col(vector).alias("__q")), query_key)
     exact = own.select(query_key, key, F.round(similarity(F.col("__v"), F.col("__q"), metric), 9).alias("score"))
     best = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
     return exact.withColumn("rank", best).where(F.col("rank") <= k)

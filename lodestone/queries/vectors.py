@@ -14,10 +14,15 @@ def _e(spark, sf):
 
 
 def _q(spark, sf):
-    """The query vectors of these queries: a stated set of five."""
+    """The five query vectors that the SQL of these queries states; the whole set is asked by their namesakes in _all."""
     return table(spark, sf, "embeddings").where("vec_id in (0, 1, 2, 3, 4)").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def _every(spark, sf):
+    """The whole query set: every row whose id is divisible by 100."""
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 Q = "q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id IN (0, 1, 2, 3, 4))"
 DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(q.qv[i] AS DOUBLE)))"
 SQ = "list_sum(list_transform(range(1, 65), lambda i: (CAST(e.embedding[i] AS DOUBLE) - CAST(q.qv[i] AS DOUBLE)) * (CAST(e.embedding[i] AS DOUBLE) - CAST(q.qv[i] AS DOUBLE))))"
@@ -42,39 +47,39 @@ def _out(df):
 
 
 @query(top("dot"))
-def knn_dot(spark, sf):
-    return _out(v.knn(_e(spark, sf), _q(spark, sf), 10, "dot"))
+def knn_dot(spark, sf, asked=_q):
+    return _out(v.knn(_e(spark, sf), asked(spark, sf), 10, "dot"))
 
 
 @query(top("cosine"))
-def knn_cosine(spark, sf):
-    return _out(v.knn(_e(spark, sf), _q(spark, sf), 10, "cosine"))
+def knn_cosine(spark, sf, asked=_q):
+    return _out(v.knn(_e(spark, sf), asked(spark, sf), 10, "cosine"))
 
 
 @query(top("euclidean"))
-def knn_euclid(spark, sf):
-    return _out(v.knn(_e(spark, sf), _q(spark, sf), 10, "euclidean"))
+def knn_euclid(spark, sf, asked=_q):
+    return _out(v.knn(_e(spark, sf), asked(spark, sf), 10, "euclidean"))
 
 
 @query(top("mip"))
-def knn_mip(spark, sf):
-    return _out(v.knn(_e(spark, sf), _q(spark, sf), 10, "mip"))
+def knn_mip(spark, sf, asked=_q):
+    return _out(v.knn(_e(spark, sf), asked(spark, sf), 10, "mip"))
 
 
 @query(top("dot", where="e.label % 2 = 0"))
-def knn_prefilter(spark, sf):
-    return _out(v.knn(_e(spark, sf).where("label % 2 = 0"), _q(spark, sf), 10, "dot"))
+def knn_prefilter(spark, sf, asked=_q):
+    return _out(v.knn(_e(spark, sf).where("label % 2 = 0"), asked(spark, sf), 10, "dot"))
 
 
 @query(top("dot") + " AND label % 2 = 0")
-def knn_postfilter(spark, sf):
-    best = v.knn(_e(spark, sf), _q(spark, sf), 10, "dot")
+def knn_postfilter(spark, sf, asked=_q):
+    best = v.knn(_e(spark, sf), asked(spark, sf), 10, "dot")
     return _out(best.join(_e(spark, sf).where("label % 2 = 0").select("vec_id"), "vec_id", "left_semi"))
 
 
 @query(f"WITH {Q} SELECT query_id, vec_id, round(round({SCORE['dot']}, 9), 6) AS score FROM embeddings e, q WHERE round({SCORE['dot']}, 9) >= 0.65")
-def knn_radius(spark, sf):
-    return v.knn(_e(spark, sf), _q(spark, sf), 0, "dot", least=0.65).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+def knn_radius(spark, sf, asked=_q):
+    return v.knn(_e(spark, sf), asked(spark, sf), 0, "dot", least=0.65).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -82,8 +87,8 @@ def knn_radius(spark, sf):
     "p AS (SELECT query_id, label, max(score) AS score FROM r WHERE rk <= 50 GROUP BY query_id, label), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS rk FROM p) "
     "SELECT query_id, label, round(score, 6) AS score, CAST(rk AS INTEGER) AS rank FROM t WHERE rk <= 5"
 )
-def knn_parent_max(spark, sf):
-    best = v.knn(_e(spark, sf), _q(spark, sf), 50, "dot").join(_e(spark, sf).select("vec_id", "label"), "vec_id")
+def knn_parent_max(spark, sf, asked=_q):
+    best = v.knn(_e(spark, sf), asked(spark, sf), 50, "dot").join(_e(spark, sf).select("vec_id", "label"), "vec_id")
     return v.best_per_parent(best, "query_id", "label", 5).select("query_id", "label", F.round("score", 6).alias("score"), "rank")
 
 
@@ -91,13 +96,11 @@ def knn_parent_max(spark, sf):
     f"WITH {Q}, s AS (SELECT query_id, vec_id, label, round({SCORE['dot']}, 9) AS score FROM embeddings e, q), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS k FROM s), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM c WHERE k = 1) SELECT query_id, vec_id, label, round(score, 6) AS score FROM r WHERE rk <= 5"
 )
-def knn_diversified(spark, sf):
+def knn_diversified(spark, sf, asked=_q):
     """The best child of each parent: exact, so every parent's best is found before the cut."""
     from pyspark.sql import Window
 
-    scored = v.knn(_e(spark, sf), _q(spark, sf), 0, "dot", least=float("-inf")).join(_e(spark, sf).select("vec_id", "label"), "vec_id")
-    best = scored.groupBy("query_id", "label").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("b"))
-    best = best.select("query_id", "label", F.col("b.score").alias("score"), (-F.col("b.v")).alias("vec_id"))
+    best = v.knn(_e(spark, sf), asked(spark, sf), 0, "dot", parent="label")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("r", rank).where("r <= 5").select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
 
@@ -110,14 +113,14 @@ def recall_at_k(spark, sf):
 
 
 @query()
-def oversample_rerank(spark, sf):
-    return v.rerank(_e(spark, sf), _q(spark, sf), 10, 5, 4).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+def oversample_rerank(spark, sf, asked=_q):
+    return v.rerank(_e(spark, sf), asked(spark, sf), 10, 5, 4).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query()
-def rerank_recall(spark, sf):
-    truth = v.knn(_e(spark, sf), _q(spark, sf), 10, "dot")
-    return v.recall(v.rerank(_e(spark, sf), _q(spark, sf), 10, 5, 4), truth, "query_id", "vec_id")
+def rerank_recall(spark, sf, asked=_q):
+    truth = v.knn(_e(spark, sf), asked(spark, sf), 10, "dot")
+    return v.recall(v.rerank(_e(spark, sf), asked(spark, sf), 10, 5, 4), truth, "query_id", "vec_id")
 
 
 @query("SELECT dim, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS stdev, count(*) FILTER (x = 0) AS zeros FROM (SELECT unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY dim")
@@ -160,9 +163,9 @@ def intrinsic_dimension(spark, sf):
 
 
 @query()
-def random_filter_knn(spark, sf):
+def random_filter_knn(spark, sf, asked=_q):
     kept = _e(spark, sf).where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(100)) < 20)
-    return _out(v.knn(kept, _q(spark, sf), 10, "dot"))
+    return _out(v.knn(kept, asked(spark, sf), 10, "dot"))
 
 
 @query("WITH RECURSIVE n AS (SELECT n_nationkey AS id FROM nation), e AS (SELECT n_nationkey AS src, n_nationkey + 5 AS dst FROM nation WHERE n_nationkey + 5 < 25), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT id, id AS c FROM n UNION SELECT b.dst, r.c FROM r JOIN b ON b.src = r.id) SELECT id, min(c) AS component FROM r GROUP BY id")
@@ -188,3 +191,15 @@ def graph_strong_components(spark, sf):
     i = F.col("id")
     e = n.where("id < 3").select(i.alias("src"), ((i + 1) % 3).alias("dst")).unionByName(n.where("id between 2 and 3").select(i.alias("src"), (i + 1).alias("dst")))
     return v.strong_components(n, e)
+
+
+def _whole(f):
+    def whole(spark, sf):
+        return f(spark, sf, _every)
+
+    whole.__name__, whole.__doc__ = f"{f.__name__}_all", f"{f.__name__} asked for every id divisible by 100, against all rows."
+    return query()(whole)
+
+
+for _f in (knn_dot, knn_cosine, knn_euclid, knn_mip, knn_prefilter, knn_postfilter, knn_radius, knn_parent_max, knn_diversified, oversample_rerank, rerank_recall, random_filter_knn):
+    _whole(_f)

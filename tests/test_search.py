@@ -142,6 +142,30 @@ def test_vectors(spark):
     assert {r["id"]: r["component"] for r in vectors.components(n, e).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7}
 
 
+def test_every_hundredth_vector_is_asked(spark, tmp_path, monkeypatch):
+    import numpy as np
+    from lodestone.queries.registry import QUERIES
+
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 2)
+    monkeypatch.setattr(vectors, "MAX_SCORES", 60)
+    x = np.random.default_rng(1).integers(-3, 4, (450, 64)).astype(np.float32) / 16
+    x[7] = x[300]
+    ids, label = np.arange(50, 500), np.arange(450) % 7
+    rows = [(int(i), v.tolist(), int(g)) for i, v, g in zip(ids, x, label)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    s = np.round((1 + x.astype(float) @ x.astype(float).T) / 2, 9)
+    want, apart = set(), set()
+    for q in (100, 200, 300, 400):
+        best = sorted(range(450), key=lambda i: (-s[q - 50, i], ids[i]))
+        want |= {(q, int(ids[i]), r + 1) for r, i in enumerate(best[:10])}
+        firsts = [i for n, i in enumerate(best) if label[i] not in label[best[:n]]]
+        apart |= {(q, int(ids[i])) for i in firsts[:5]}
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in QUERIES["knn_dot_all"](spark, str(tmp_path)).collect()} == want
+    assert {(r["query_id"], r["vec_id"]) for r in QUERIES["knn_diversified_all"](spark, str(tmp_path)).collect()} == apart
+    radius = {(r["query_id"], r["vec_id"]) for r in QUERIES["knn_radius_all"](spark, str(tmp_path)).collect()}
+    assert radius == {(q, int(ids[i])) for q in (100, 200, 300, 400) for i in range(450) if s[q - 50, i] >= 0.65}
+
+
 def test_geo(spark):
     p = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 1.0), (2, 0.0, -179.9), (3, 89.9, 10.0), (4, None, 1.0)], "id long, lat double, lon double")
     assert [r["id"] for r in geo.nearest(p, "id", "lat", "lon", (0.0, 179.9), 1).collect()] == [2]
