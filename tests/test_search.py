@@ -123,6 +123,15 @@ def test_preparation(spark):
     assert len([1 for x, y in zip(whole, whole[1:]) if x != y]) == 1
 
 
+def test_whole_merge(spark, tmp_path):
+    from lodestone.queries.registry import QUERIES
+
+    rows = [(i, "gyx"[i % 3], f"p{i}", i % 2, (i * 7919) % 500) for i in range(1500)]
+    spark.createDataFrame(rows, "trip_id long, cab_color string, pickup_datetime string, trip_type int, received_at int").repartition(5).write.parquet(f"{tmp_path}/taxi_trips.parquet")
+    got = [(r["received_at"], r["trip_id"], r["trip_type"]) for r in QUERIES["merge_two_streams_all"](spark, str(tmp_path)).collect()]
+    assert got == sorted((r[4], r[0], r[3] if r[1] == "g" else None) for r in rows if r[1] != "x") and len(got) == 1000
+
+
 def test_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [1.0, 0.0]), (5, [1.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
