@@ -288,3 +288,15 @@ def test_sentences_of_odd_rows(spark):
     got = sentences.sentences(spark.createDataFrame(rows, "doc_id long, text string, start_char string"), "doc_id", "text")
     n = {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()}
     assert n[1] == 2 and n[5] == 20_000 and set(n) == {1, 5, 6}
+
+
+def test_recall_of_the_lists_can_fail(spark, tmp_path, monkeypatch):
+    from lodestone.llm import queries
+
+    x = np.random.default_rng(5).standard_normal((600, 64)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    one = queries.QUERIES["p1_recall"](spark, str(tmp_path)).first()["recall"]
+    whole = similar.most_similar
+    monkeypatch.setattr(similar, "most_similar", lambda *a, **o: whole(*a, **o).where("id != '100'"))
+    less = queries.QUERIES["p1_recall"](spark, str(tmp_path)).first()["recall"]
+    assert 0.3 < one <= 1 and less < one
