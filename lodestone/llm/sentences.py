@@ -7,7 +7,9 @@ and versions, quotations and brackets inside a sentence that goes on, ellipses.
 Greek questions, a space ends Thai sentences. Blank lines and list marks always begin a unit.
 
 The language of a passage is seen from its script and words, not from the row: paragraphs may be
-in another language. All abbreviation lists hold everywhere unless a word means something else.
+in another language. Each language has its own abbreviations: titles before a name, words that are
+abbreviations before a number only (``no``, ``art``, ``sec``), and those that always go on. A lone
+capital is an initial unless a word follows that begins sentences (``plan B. It failed``).
 
 Defined results: null, empty and blank texts give no row; a text without any terminator is one
 unit; offsets count code points; text of any length is worked on whole, in linear time.
@@ -25,32 +27,86 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Abbreviations after which a name or number goes on, so that a capital or a digit
-# does not begin a sentence.
-BEFORE_NAME = set(
+# Abbreviations by language. TITLES stand before a name (with a capital in languages of
+# Latin script), NUMBERED before a number only, GO_ON before anything.
+TITLES = {
+    "en": "mr mrs ms dr prof rev hon st lt col gen capt sgt maj cmdr adm gov sen rep pres messrs mt ft ave",
+    "de": "dr prof hr fr st dipl ing hrsg",
+    "fr": "m mm mme mlle me dr pr st ste",
+    "es": "sr sra srta dr dra d dña ud uds avda prof",
+    "ru": "г ул проф акад доц обл р д им пр просп пл",
+    "el": "κ κα κος δρ καθ λεωφ αγ",
+    "hi": "डॉ श्री प्रो पं",
+    "ar": "د أ م",
+}
+NUMBERED = {
+    "en": "no nos fig figs vol vols sec secs art arts eq eqs ch chap p pp approx",
+    "de": "nr abb bd kap tab str s",
+    "fr": "art fig vol chap réf env n no p pp",
+    "es": "núm art cap fig vol p pág págs tel",
+    "ru": "рис гл см стр ст п т руб коп",
+    "el": "εικ κεφ αρ σελ",
+    "hi": "सं पृ",
+    "ar": "ص ج",
+}
+#: Titles that as well stand behind a name (``Main St. Then``): not before a word that begins sentences.
+STREETS = {"st", "ave", "mt", "ft", "pl", "str"}
+#: Abbreviations that are words of no language of Latin script; they hold whatever the passage's language.
+PLAIN = set("mr mrs ms dr prof mme mlle sr sra srta dra lt capt sgt messrs approx env fig figs vol vols nr núm réf pp pág págs kap abb chap bzw vgl".split())
+GO_ON = {
+    "en": "vs cf i.e e.g viz ca",
+    "de": "ca bzw vgl evtl ggf inkl exkl zzgl sog z.b d.h u.a z o",
+    "fr": "cf av env p.ex",
+    "es": "ej p.ej aprox ee",
+    "ru": "т.е т.д т.п тыс млн млрд напр др",
+    "el": "π.χ χλμ π",
+    "hi": "",
+    "ar": "",
+}
+#: Abbreviations of two words, by the second: (first, second).
+TWO_WORDS = {("p", "ex"), ("par", "ex"), ("p", "ej"), ("et", "al"), ("z", "b"), ("d", "h"), ("u", "a"), ("т", "е"), ("т", "д"), ("т", "п")}
+LATIN = ("en", "de", "fr", "es")
+#: Word: the languages that know it, by the kind of abbreviation.
+KNOWN = {kind: {} for kind in ("title", "numbered", "go on")}
+for _kind, _lists in (("title", TITLES), ("numbered", NUMBERED), ("go on", GO_ON)):
+    for _lang, _words in _lists.items():
+        for _w in _words.split():
+            KNOWN[_kind].setdefault(_w, set()).add(_lang)
+ABBREVIATIONS = set().union(*KNOWN.values()) | {b for _, b in TWO_WORDS}
+# Abbreviations that may well end a sentence: a capital behind them begins one.
+MAY_END = set("etc usw inc ltd co corp u.s u.k e.u uu д км jan feb mar apr jun jul aug sept sep oct nov dec a.m p.m jr".split())
+# Words by which a passage of Latin script shows its language.
+TELLING = {
+    "en": "the of and to in that was is it for on with as he she they his her not but from this which were had said by".split(),
+    "de": "der die das und ist nicht ein eine den dem mit von zu auf im wird sich auch wurde war nach ohne bei am".split(),
+    "fr": "le la les et est un une des du dans que qui pour pas sur il elle au ce avec sans après à ont a".split(),
+    "es": "el la los las y es un una de del en que por se con su al para lo sin está fue tras".split(),
+}
+TELLS = {}
+for _lang, _words in TELLING.items():
+    for _w in _words:
+        TELLS.setdefault(_w, []).append(_lang)
+# Words that begin a sentence and no name: behind them a lone capital was no initial.
+STARTERS = set(
     """
-    mr mrs ms dr prof rev hon st lt col gen capt sgt maj cmdr adm gov sen rep pres messrs mt ft ave vs
-    no nos fig figs vol vols sec secs art arts eq eqs ch chap pp p approx cf ca al ed eds jr sr
-    nr abb bd hr fr bzw vgl evtl ggf inkl exkl zzgl usf kap tab str dipl ing hrsg sog z b d h u a o s
-    m mm mme mlle me env ex réf chap
-    sra srta dra d dña ud uds ee pág págs núm art cap ej avda tel aprox
-    г гг ул рис гл см стр т е д п им проф руб коп тыс млн млрд напр др акад доц обл р
-    κ κα κος δρ καθ χλμ σελ εικ κεφ αρ λεωφ αγ π χ
-    डॉ श्री प्रो सं पृ
-    د أ م ص ج
+    it he she we they you i the a an this that these those there then but and or so if when while as in on at for to no yes not
+    what who why how where its his her our your their my one some many most all both each now here after before however
+    er sie es wir ihr ich der die das ein eine dann aber und oder wenn als da hier dort dies diese dieser nun nach vor im am
+    il elle on nous vous ils elles je le la les un une des ce cette ces mais et ou puis alors quand si dans
+    él ella nosotros ellos yo el los las una pero y luego entonces cuando este esta esto en
+    он она оно они мы вы я это этот эта но и а затем потом когда если в на
     """.split()
 )
-# Abbreviations that may well end a sentence: a capital behind them begins one.
-MAY_END = set("etc usw inc ltd co corp u.s u.k e.u uu д км jan feb mar apr jun jul aug sept sep oct nov dec a.m p.m".split())
 # Words before a German ordinal.
 ORDINAL_BEFORE = set("der die das dem den des am im zum vom beim zur ab bis seit jeder jede jedes jeden ihr sein unser dieser diesem diesen und".split())
-# After a quotation: how the sentence that holds it goes on in scripts without capitals.
+# After a quotation: how the sentence that holds it goes on in scripts without capitals. A verb of
+# saying belongs to the quotation if a mark follows it; before a colon it opens the next one.
 GOES_ON = regex.compile(
     r"""\s*(?:[,،、，;:：]|[—–-]\s|[—–]{1,2}
     |と|って(?!い)|という|라고|하고|이라고|고\s
-    |[A-Za-z][\w.'-]*\s?(?:さん|君|氏|様)?(?:问道|喊道|说|写道|答道|回答|叫道|道)(?!\s*[：:])
-    |[A-Za-z][\w.'-]*\s+ने\s
-    |ถาม|กล่าว|บอก|ने\s)""",
+    |[\p{Han}\p{Latin}\p{M}·.' -]{0,24}?(?:[问喊说写答叫吼嚷问]道|说|回答|道)(?=[，,。.！!；;])
+    |[^\s।?!.,]{1,40}(?:\s[^\s।?!.,]{1,40})?\s+ने\s+[^\s।?!.,]{1,40}\s*[।?!.,]
+    |(?:คุณ\s?)?[^\s]{0,40}?\s?(?:ถาม|กล่าว|บอก)|ने\s+[^\s।?!.,]{1,40}\s*[।?!.,])""",
     regex.VERBOSE,
 )
 # As above, but only after a question or a cry: a verb that begins the next sentence is as likely else.
@@ -66,6 +122,11 @@ BLANK = regex.compile(BREAK + r"[^\S\n\r\x85 ]*" + BREAK + r"\s*| \s*")
 MARKED = regex.compile(r"(?:(?<=[\n\r\x85 ])|^)[^\S\n\r\x85 ]*(?=[-•] )")
 INITIALS = regex.compile(r"\p{Lu}(?:\.?-\p{Lu})+")
 BRACKET = re.compile(r"[(\[{（【［〔｛]")
+MAY_CLOSE = set(")]}”’›」』）】》〉〕｝］»\"'“‘ \xa0\u2007\u2008\u2009\u202f")
+ANY_BRACKET = re.compile(r"[(\[{（【［〔｛)\]}）】］〕｝]")
+COUNTED = re.compile("[\"'“”„‘’‚]")
+ELISION = re.compile("[.'’]")
+LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 THAI = re.compile("[\u0e00-\u0e7f]")
 THAI_SPACE = regex.compile(r"(?<=[\p{Thai}\p{Po}\p{Pf}\p{Pe}\"])\s+(?=[\p{Thai}\p{Pi}\p{Ps}\"])")
 SKIP = regex.compile(r"[\s\p{Pi}\p{Ps}\"'„‚«‹¿¡*_=#]*")
@@ -95,59 +156,126 @@ def _word_before(text: str, at: int) -> str:
     return text[i:at]
 
 
-def _closes(text: str, at: int, begin: int, end: int) -> int:
-    """The end of the closing marks that follow a terminator at ``at``."""
-    while at < end and (m := CLOSE.match(text, at, end)):
-        mark = m.group()[-1]
-        if mark in "\"'“‘":
-            # a mark that may open as well closes only what is open
-            mate = QUOTE_PAIRS[mark]
-            part = text[begin:at]
-            if mark == "'" and m.end() < end and text[m.end()].isalnum():
-                break
-            if mark in "\"'":
-                if part.count(mark) % 2 == 0:
+class Passage:
+    """What is known of one passage while its marks are gone through from left to right.
+
+    Every counter only moves forward, so a passage costs its length once, whatever its sentences.
+    """
+
+    def __init__(self, text: str, begin: int, end: int, has_quotes: bool, has_brackets: bool):
+        self.text, self.begin, self.end = text, begin, end
+        self.at = begin  # where the sentence begins
+        self.seen = begin  # marks before this are counted
+        self.counts: dict[str, int] = {}
+        # brackets of the passage that have a mate, in the order they open
+        self.pairs: list[tuple[int, int]] = []
+        self.next_pair, self.reach = 0, -1
+        if has_brackets:
+            open_: dict[str, list[int]] = {}
+            for m in ANY_BRACKET.finditer(text, begin, end):
+                c = m.group()
+                if c in PAIRS:
+                    if open_.get(PAIRS[c]):
+                        self.pairs.append((open_[PAIRS[c]].pop(), m.start()))
+                else:
+                    open_.setdefault(c, []).append(m.start())
+            self.pairs.sort()
+        self.has_quotes = has_quotes
+        self.lang: tuple[str, ...] | None = None
+        self._start_sentence(begin)
+
+    def _start_sentence(self, at: int) -> None:
+        self.at = at
+        self.first = m_end(self.text, at) if at < self.end else at
+        self.seen, self.reach = max(self.seen, at), -1
+        self.counts.clear()
+
+    cut = _start_sentence
+
+    def advance(self, to: int) -> None:
+        """Count the quotation marks and find the brackets before ``to``."""
+        if self.has_quotes:
+            text = self.text
+            for m in COUNTED.finditer(text, self.seen, to):
+                c, i = m.group(), m.start()
+                if c != "'" or not (i > 0 and text[i - 1].isalnum() and i + 1 < len(text) and text[i + 1].isalnum()):
+                    self.counts[c] = self.counts.get(c, 0) + 1
+        while self.next_pair < len(self.pairs) and self.pairs[self.next_pair][0] < to:
+            left, right = self.pairs[self.next_pair]
+            if left > self.first:
+                self.reach = max(self.reach, right)
+            self.next_pair += 1
+        self.seen = to
+
+    def closes(self, at: int) -> int:
+        """The end of the closing marks that follow a terminator at ``at``."""
+        text, end = self.text, self.end
+        if at >= end or text[at] not in MAY_CLOSE:
+            return at
+        more: dict[str, int] = {}
+        n = lambda c: self.counts.get(c, 0) + more.get(c, 0)
+        while at < end and (m := CLOSE.match(text, at, end)):
+            mark = m.group()[-1]
+            if mark in "\"'“‘":
+                # a mark that may open as well closes only what is open
+                if mark == "'" and m.end() < end and text[m.end()].isalnum():
                     break
-            elif part.count(mate) <= part.count(mark):
-                break
-        at = m.end()
-    return at
+                if mark in "\"'":
+                    if n(mark) % 2 == 0:
+                        break
+                elif n(QUOTE_PAIRS[mark]) <= n(mark):
+                    break
+            more[mark] = more.get(mark, 0) + 1
+            at = m.end()
+        return at
 
+    def knows(self, word: str, kind: str) -> bool:
+        """Whether the passage's language has the word among its abbreviations of a kind."""
+        langs = KNOWN[kind].get(word)
+        if not langs:
+            return False
+        if word in PLAIN or not any(x in LATIN for x in langs):
+            return True  # the word or its script says it
+        if self.lang is None:
+            self.lang = self._language()
+        return any(x in langs for x in self.lang)
 
-def _in_bracket(text: str, begin: int, at: int, closed: int) -> bool:
-    """Whether a bracket that opened inside the sentence is open before ``at`` or closed by ``at..closed``."""
-    if not BRACKET.search(text, begin, closed):
-        return False
-    for mark in text[at:closed]:
-        mate = PAIRS.get(mark)
-        if mate is not None:
-            start = text.rfind(mate, begin, at)
-            if start >= 0 and text[begin:start].strip():
-                return True
-    for close, mate in PAIRS.items():
-        if text.count(mate, begin, closed) > text.count(close, begin, closed):
-            start = text.rfind(mate, begin, at)
-            if text[begin:start].strip() and text.find(close, closed, closed + 300) >= 0:
-                return True
-    return False
+    def _language(self) -> tuple[str, ...]:
+        """Languages of Latin script with the most telling words; all of them if hardly one is there."""
+        votes = dict.fromkeys(LATIN, 0)
+        for m in LETTERS.finditer(self.text, self.begin, self.end):
+            for x in TELLS.get(m.group().lower(), ()):
+                votes[x] += 1
+        most = max(votes.values())
+        return tuple(x for x in LATIN if votes[x] == most or most < 2)
 
 
-def _ends(text: str, begin: int, m: regex.Match, closed: int, end: int) -> bool:
+def _prior(text: str, begin: int, at: int) -> str:
+    """The word before the one that begins at ``at``, within the sentence."""
+    i = at
+    while i > begin and (text[i - 1].isspace() or text[i - 1] in ".("):
+        i -= 1
+        if at - i > 8:
+            return ""
+    return _word_before(text, i) if i > begin else ""
+
+
+def _ends(p: Passage, m: regex.Match, closed: int) -> bool:
     """Whether the terminator ``m``, with its closing marks up to ``closed``, ends the sentence."""
-    mark = m.group()
+    text, end, mark = p.text, p.end, m.group()
     if closed >= end:
         return True
     start = SKIP.match(text, closed, end).end()
     if start >= end:
-        return not text[closed:end].strip() or True
+        return True
     spaced = text[closed].isspace()
     nxt = text[start]
     quoted = closed > m.end() and any(c in QUOTE_PAIRS for c in text[m.end() : closed])
     if quoted and mark[-1] in "؟?!" and ASKED.match(text, closed, end):
         return False
-    if _in_bracket(text, begin, m.start(), closed):
-        return False
-    if (quoted or mark[-1] not in ".") and GOES_ON.match(text, closed, end) and (quoted or text[closed] in ",،、，"):
+    if p.reach >= m.start():
+        return False  # within a bracket that the sentence opened
+    if (quoted or mark[-1] not in ".") and (quoted or text[closed] in ",،、，") and GOES_ON.match(text, closed, end):
         return False
     first = mark[0]
     if ELLIPSIS.match(mark):
@@ -155,7 +283,7 @@ def _ends(text: str, begin: int, m: regex.Match, closed: int, end: int) -> bool:
             return not nxt.islower()
         return spaced and (nxt.isupper() or text[closed:start].strip() != "" or nxt.isdigit())
     if mark == ".":
-        before = text[m.start() - 1] if m.start() > begin else ""
+        before = text[m.start() - 1] if m.start() > p.at else ""
         if not spaced and closed == m.end():
             if before.isdigit() and nxt.isdigit() and start == closed:
                 return False
@@ -168,34 +296,60 @@ def _ends(text: str, begin: int, m: regex.Match, closed: int, end: int) -> bool:
         if nxt.islower():
             return False
         if closed == m.end():
-            word = _word_before(text, m.start())
-            low = word.lower()
-            if not spaced and nxt.isupper() and len(word.rpartition(".")[2]) < 2 and not CASELESS.match(word[-1:] or "."):
-                return False
-            if low in MAY_END:
-                return True
-            tail = low.rpartition(".")[2]
-            if low in BEFORE_NAME or tail in BEFORE_NAME:
-                return False
-            if len(word) == 1 and word.isalpha() and (word.isupper() or CASELESS.match(word)):
-                return False
-            if "." in word and all(len(x) == 1 for x in word.split(".")):
-                return False
-            if INITIALS.fullmatch(word):
-                return False
-            if word.isdigit() and len(word) <= 3 and nxt.isupper():
-                prior = _word_before(text, text.rfind(word, begin, m.start()) - 1).lower() if text.rfind(word, begin, m.start()) > begin else ""
-                if prior.rpartition(".")[2] in ORDINAL_BEFORE:
-                    return False
-                if not text[begin : m.start()].strip()[: -len(word)].strip():
-                    return False
+            return not _abbreviated(p, m.start(), start, spaced)
         return True
-    if first in ";;":
+    if first in ";;":
         return True
     # ! ? and the terminators of other scripts; in a name (Zapp! parser) a small letter goes on
-    if nxt.islower():
+    return not nxt.islower()
+
+
+def _abbreviated(p: Passage, dot: int, start: int, spaced: bool) -> bool:
+    """Whether the word before the full stop at ``dot`` is an abbreviation, initial or ordinal that goes on at ``start``."""
+    text, nxt = p.text, p.text[start]
+    word = _word_before(text, dot)
+    at = dot - len(word)
+    low = word.lower()
+    tail = ELISION.split(low)[-1]
+    if len(word) > 3 and tail == low and low not in ABBREVIATIONS and "-" not in low:
+        return False
+    if not spaced and nxt.isupper() and len(tail) < 2 and not CASELESS.match(word[-1:] or "."):
+        return True
+    if word[len(word) - len(tail) :][:1].isupper() or not _latin(word):
+        if p.knows(low, "title") or p.knows(tail, "title"):
+            return tail not in STREETS or _next_word(text, start, p.end) not in STARTERS
+    if low in MAY_END:
         return False
-    return True
+    if nxt.isdigit() and (p.knows(low, "numbered") or p.knows(tail, "numbered")):
+        return True
+    if p.knows(low, "go on") or p.knows(tail, "go on") and tail not in STARTERS:
+        return True
+    prior = _prior(text, p.at, at)
+    if (prior.lower().rpartition(".")[2], tail) in TWO_WORDS or "." in low and tuple(low.split(".")[-2:]) in TWO_WORDS:
+        return True
+    if len(word) == 1 and word.isalpha() and (word.isupper() or CASELESS.match(word)) or INITIALS.fullmatch(word):
+        # an initial at the beginning, behind a name, a title or another initial; else only if a name may follow
+        if at <= p.first or prior[:1].isupper() or p.knows(prior.lower(), "title"):
+            return prior[:1].isupper() is False or len(prior) <= 1 or _next_word(text, start, p.end) not in STARTERS
+        return _next_word(text, start, p.end) not in STARTERS
+    if "." in word and all(len(x) == 1 for x in word.split(".")):
+        return _next_word(text, start, p.end) not in STARTERS
+    if word.isdigit() and len(word) <= 3 and nxt.isupper():
+        if prior.lower().rpartition(".")[2] in ORDINAL_BEFORE:
+            return True
+        if at <= p.first:
+            return True  # the number of a list or a day
+    return False
+
+
+def _latin(word: str) -> bool:
+    return LATIN_DIGIT.match(word) is not None
+
+
+def _next_word(text: str, start: int, end: int) -> str:
+    """The word at ``start`` in lower case; a longer one than 20 letters is no starter and may be cut."""
+    m = LETTERS.match(text, start, min(end, start + 20))
+    return m.group().lower() if m else ""
 
 
 def spans(text: str) -> list[tuple[int, int]]:
@@ -211,6 +365,7 @@ def spans(text: str) -> list[tuple[int, int]]:
             out.append((a, b))
 
     is_thai = THAI.search(text) is not None
+    kinds = COUNTED.search(text) is not None, BRACKET.search(text) is not None
     edges = {0, len(text)}
     for m in BLANK.finditer(text):
         edges.add(m.end())
@@ -221,32 +376,31 @@ def spans(text: str) -> list[tuple[int, int]]:
         stop = end
         while stop > begin and text[stop - 1].isspace():
             stop -= 1
-        cuts = []
         thai = THAI_SPACE.finditer(text, begin, stop) if is_thai else ()
         marks = [(m.start(), m) for m in TERM.finditer(text, begin, stop)] + [(m.start(), None) for m in thai]
-        at = begin
-        for pos, m in sorted(marks, key=lambda x: x[0]):
-            if pos < at:
+        if not marks:
+            add(begin, stop)
+            continue
+        p = Passage(text, begin, stop, *kinds)
+        for pos, m in sorted(marks, key=lambda x: x[0]) if is_thai else marks:
+            if pos < p.at:
                 continue
             if m is None:
                 # a space of Thai text: one of its sides is a Thai letter
                 side = text[pos - 1], text[m_end(text, pos)]
-                if any("฀" <= c <= "๿" for c in side) and not text[at:pos].strip() in ("-", "•"):
-                    cuts.append(pos)
-                    at = pos
+                if any("฀" <= c <= "๿" for c in side) and not (pos - p.first == 1 and text[p.first] in "-•"):
+                    add(p.at, pos)
+                    p.cut(pos)
                 continue
             after = m.end()
             if after < stop and text[after].isdigit() and pos > begin and text[pos - 1].isdigit() and after == pos + 1 and text[pos] == ".":
                 continue  # a decimal or a version
-            closed = _closes(text, after, at, stop)
-            if _ends(text, at, m, closed, stop):
-                cuts.append(closed)
-                at = closed
-        prev = begin
-        for c in cuts:
-            add(prev, c)
-            prev = c
-        add(prev, stop)
+            p.advance(after)
+            closed = p.closes(after)
+            if _ends(p, m, closed):
+                add(p.at, closed)
+                p.cut(closed)
+        add(p.at, stop)
     return out
 
 

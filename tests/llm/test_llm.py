@@ -300,3 +300,36 @@ def test_recall_of_the_lists_can_fail(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(similar, "most_similar", lambda *a, **o: whole(*a, **o).where("id != '100'"))
     less = queries.QUERIES["p1_recall"](spark, str(tmp_path)).first()["recall"]
     assert 0.3 < one <= 1 and less < one
+
+
+@pytest.mark.parametrize(
+    "text, cut",
+    [
+        ("She said no. Then he left.", 12), ("This is art. We like it.", 12), ("He wore a cap. Then it rained.", 14), ("Press the tab. Then type.", 14),
+        ("It took one sec. Then it stopped.", 16), ("Il est mon ex. Elle part.", 14), ("That was plan B. It failed.", 16), ("He lives on Main St. Then he moved.", 20),
+        ("Voir l'art. 60. Elle part.", 15), ("He met J. Smith. Then he left.", 16), ("Prof. No met Mr. So. They spoke.", 20), ("“停！”王明喊道，“好！”真慢。", 13),
+    ],
+)
+def test_words_that_are_abbreviations_elsewhere(text, cut):
+    assert [b for _, b in sentences.spans(text)] == [cut, len(text)]
+
+
+def test_a_long_bracket_is_one_sentence():
+    inside = "One more. " * 200
+    assert len(sentences.spans(f"He said ({inside}) so. Then he left.")) == 2
+    assert len(sentences.spans(f"He said ({inside}\n\n) so.")) > 200  # the mate lies in another passage
+
+
+@pytest.mark.parametrize("unit", ["Dr. X ", "(a. B ", '" a. B ', "I. The ", "a.a'", "x.” ", "«a?» b.B "])
+def test_sentences_take_linear_time(unit):
+    import time
+
+    def took(n):
+        best = 9e9
+        for _ in range(3):
+            began = time.perf_counter()
+            sentences.spans(unit * n)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert took(16_000) < 8 * took(4_000)
