@@ -1,8 +1,9 @@
-"""From query nodes to Columns over a documents table with analysed fields.
+"""From query nodes to Columns.
 
-A match is a predicate on a row's token arrays and a score is an expression on the same arrays,
-so a search is one scan, a filter and a top-k, without a shuffle. The collection's statistics
-(documents, average length, document frequencies of the query's own terms) are one aggregated row.
+A match is a predicate and a score an expression over where a document has the query's terms. Over
+a plain ``Corpus`` both look at the token arrays of a scan; over an ``Index`` (see ``index``) at the
+postings of the query's own terms, and nothing else is read. The collection's statistics
+(documents, average length, document frequencies of the query's terms) are one small row.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from lodestone.functions.text import frequency, positions, tokens
 from lodestone.plans import spec as q
 
 K1, B = 1.2, 0.75
+PATTERNS = (q.Prefix, q.Wildcard, q.Fuzzy)
 
 
 @dataclass
@@ -89,11 +91,44 @@ def terms_of(node: q.Node) -> set[tuple[str, str]]:
 _BOUND: ContextVar[dict[str, Column] | None] = ContextVar("bound", default=None)
 
 
+@dataclass
+class Posted:
+    """Columns that say where a document has terms: frequency (null: nowhere), positions, lengths, and which patterns match."""
+
+    tf: dict[tuple[str, str], Column]
+    at: dict[tuple[str, str], Column]
+    length: dict[str, Column]
+    patterns: dict[q.Node, Column]
+
+
+#: Within a predicate over postings: their columns.
+_POSTED: ContextVar[Posted | None] = ContextVar("posted", default=None)
+
+
 def _f(name: str) -> Column:
     bound = _BOUND.get()
     return bound[name] if bound is not None else F.col(f"__{name}")
 
 
+def _at(name: str, group: tuple[str, ...]) -> Column:
+    """0-based positions of any of the terms, in order."""
+    if posted := _POSTED.get():
+        none = F.array().cast("array<int>")
+        each = [F.coalesce(posted.at[name, t], none) for t in dict.fromkeys(group)]
+        return each[0] if len(each) == 1 else F.array_sort(F.flatten(F.array(*each)))
+    return positions(_f(name), list(group))
+
+
+def _frequency(name: str, term: str) -> Column:
+    posted = _POSTED.get()
+    return F.coalesce(posted.tf[name, term], F.lit(0)) if posted else frequency(_f(name), term)
+
+
+def _length(name: str) -> Column:
+    posted = _POSTED.get()
+    return posted.length[name] if posted else F.size(_f(name))
+
+
 def fields_of(node: q.Node) -> set[str]:
     """The analysed fields that the match of a query looks at."""
     if isinstance(node, q.Bool):
@@ -130,12 +165,14 @@ def _let(values: list[Column], body) -> Column:
     return F.element_at(F.transform(F.array(bound), lambda s: body([s[f"v{i}"] for i in range(len(values))])), 1)
 
 
-def _all_there(words: Column, groups) -> Column:
+def _all_there(name: str, groups) -> Column:
     """A cheap first test: every group has a word in the text."""
-    return _and([F.arrays_overlap(words, F.array(*[F.lit(t) for t in g])) for g in groups])
+    if posted := _POSTED.get():
+        return _and([_or([posted.tf[name, t].isNotNull() for t in g]) for g in groups])
+    return _and([F.arrays_overlap(_f(name), F.array(*[F.lit(t) for t in g])) for g in groups])
 
 
-def ordered_width(words: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+def ordered_width(name: str, groups: tuple[tuple[str, ...], ...]) -> Column:
     """Width of the shortest interval that holds the groups in order; null if there is none."""
 
     def shortest(at: list[Column]) -> Column:
@@ -147,17 +184,27 @@ def ordered_width(words: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
 
         return F.array_min(F.transform(at[0], width))
 
-    return F.when(_all_there(words, groups), _let([positions(words, list(g)) for g in groups], shortest))
+    return F.when(_all_there(name, groups), _let([_at(name, g) for g in groups], shortest))
 
 
-def exact_phrase(words: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+def phrase_starts(name: str, groups: tuple[tuple[str, ...], ...]) -> Column:
+    """Positions from which the groups stand one after the other."""
+    following = list(enumerate(groups[1:], 1))
+    if _POSTED.get():
+        rest = [(i, _at(name, g)) for i, g in following]
+        hit = lambda p: _and([F.array_contains(x, p + i) for i, x in rest] or [F.lit(True)])
+    else:
+        words = _f(name)
+        hit = lambda p: _and([F.coalesce(F.get(words, p + i).isin(*g), F.lit(False)) for i, g in following] or [F.lit(True)])
+    return F.filter(_at(name, groups[0]), hit)
+
+
+def exact_phrase(name: str, groups: tuple[tuple[str, ...], ...]) -> Column:
     """Whether the groups stand at successive positions."""
-    following = [list(g) for g in groups[1:]]
-    hit = lambda p: _and([F.coalesce(F.get(words, p + i + 1).isin(*g), F.lit(False)) for i, g in enumerate(following)] or [F.lit(True)])
-    return _all_there(words, groups) & F.exists(positions(words, list(groups[0])), hit)
+    return _all_there(name, groups) & (F.size(phrase_starts(name, groups)) > 0)
 
 
-def phrase_spread(words: Column, terms: tuple[str, ...]) -> Column:
+def phrase_spread(name: str, terms: tuple[str, ...]) -> Column:
     """Smallest spread of displacements over one position for each term; 0 is the exact phrase, null none."""
 
     def spread(moved: list[Column]) -> Column:
@@ -169,8 +216,8 @@ def phrase_spread(words: Column, terms: tuple[str, ...]) -> Column:
 
         return F.array_min(F.transform(F.flatten(F.array(*moved)), over))
 
-    moved = [F.transform(positions(words, t), _less(i)) for i, t in enumerate(terms)]
-    return F.when(_all_there(words, [(t,) for t in terms]), _let(moved, spread))
+    moved = [F.transform(_at(name, (t,)), _less(i)) for i, t in enumerate(terms)]
+    return F.when(_all_there(name, [(t,) for t in terms]), _let(moved, spread))
 
 
 def _from(x: Column):
@@ -182,10 +229,23 @@ def within_edits(word: Column, term: str, edits: int) -> Column:
     return F.levenshtein(word, F.lit(term), edits) >= 0
 
 
+def pattern(node: q.Node, word: Column) -> Column:
+    """Whether a word is one of a prefix, wildcard or fuzzy query's."""
+    if isinstance(node, q.Prefix):
+        return F.startswith(word, F.lit(node.prefix))
+    if isinstance(node, q.Wildcard):
+        like = re.escape(node.pattern).replace(r"\*", ".*").replace(r"\?", ".")
+        return word.rlike(f"^(?:{like})$")
+    return within_edits(word, node.term, node.edits)
+
+
 def match(node: q.Node) -> Column:
     """The predicate of a query."""
+    posted = _POSTED.get()
     if isinstance(node, q.MatchAll):
         return F.lit(True)
+    if isinstance(node, q.Term) and posted:
+        return posted.tf[node.field, node.term].isNotNull()
     if isinstance(node, q.Term):
         return F.coalesce(F.array_contains(_f(node.field), node.term), F.lit(False))
     if isinstance(node, q.Bool):
@@ -198,24 +258,23 @@ def match(node: q.Node) -> Column:
     if isinstance(node, q.Constant):
         return match(node.query)
     if isinstance(node, q.Phrase) and not node.slop:
-        return F.coalesce(exact_phrase(_f(node.field), tuple((t,) for t in node.terms)), F.lit(False))
+        return F.coalesce(exact_phrase(node.field, tuple((t,) for t in node.terms)), F.lit(False))
     if isinstance(node, q.Phrase):
-        return F.coalesce(phrase_spread(_f(node.field), node.terms) <= node.slop, F.lit(False))
+        return F.coalesce(phrase_spread(node.field, node.terms) <= node.slop, F.lit(False))
     if isinstance(node, q.MultiPhrase):
-        return F.coalesce(exact_phrase(_f(node.field), node.terms), F.lit(False))
+        return F.coalesce(exact_phrase(node.field, node.terms), F.lit(False))
     if isinstance(node, q.Ordered):
-        return F.coalesce(ordered_width(_f(node.field), node.terms) <= node.width, F.lit(False))
+        return F.coalesce(ordered_width(node.field, node.terms) <= node.width, F.lit(False))
     if isinstance(node, q.Near):
-        return F.coalesce(ordered_width(_f(node.field), node.terms) - len(node.terms) <= node.slop, F.lit(False))
+        return F.coalesce(ordered_width(node.field, node.terms) - len(node.terms) <= node.slop, F.lit(False))
+    if isinstance(node, q.First) and posted:
+        return F.coalesce(F.array_min(posted.at[node.field, node.term]) < node.within, F.lit(False))
     if isinstance(node, q.First):
         return F.coalesce(F.array_position(_f(node.field), node.term).between(1, node.within), F.lit(False))
-    if isinstance(node, q.Prefix):
-        return F.coalesce(F.exists(_f(node.field), lambda w: F.startswith(w, F.lit(node.prefix))), F.lit(False))
-    if isinstance(node, q.Wildcard):
-        like = re.escape(node.pattern).replace(r"\*", ".*").replace(r"\?", ".")
-        return F.coalesce(F.exists(_f(node.field), lambda w: w.rlike(f"^(?:{like})$")), F.lit(False))
-    if isinstance(node, q.Fuzzy):
-        return F.coalesce(F.exists(_f(node.field), lambda w: within_edits(w, node.term, node.edits)), F.lit(False))
+    if isinstance(node, PATTERNS) and posted:
+        return F.coalesce(posted.patterns[node], F.lit(False))
+    if isinstance(node, PATTERNS):
+        return F.coalesce(F.exists(_f(node.field), lambda w: pattern(node, w)), F.lit(False))
     if isinstance(node, q.Range):
         c = F.col(node.column)
         bounds = ([c >= node.low] if node.low is not None else []) + ([c <= node.high] if node.high is not None else [])
@@ -244,7 +303,7 @@ def score(node: q.Node, stats: dict) -> Column:
     """The relevance of a matching row."""
     if isinstance(node, q.Term):
         n, avg = stats[node.field]
-        tf, length, df = frequency(_f(node.field), node.term), F.size(_f(node.field)), stats[(node.field, node.term)]
+        tf, length, df = _frequency(node.field, node.term), _length(node.field), stats[(node.field, node.term)]
         kind = stats.get("similarity", "bm25")
         own = classic_weight(tf, length, df, n) if kind == "classic" else F.when(tf > 0, 1.0).otherwise(0.0) if kind == "boolean" else bm25(tf, length, df, n, avg)
         return F.coalesce(own, F.lit(0.0))
@@ -254,10 +313,9 @@ def score(node: q.Node, stats: dict) -> Column:
 
         n, avg = stats[node.field]
         idf = sum(math.log(1 + (n - stats[(node.field, t)] + 0.5) / (stats[(node.field, t)] + 0.5)) for t in node.terms)
-        words = _f(node.field)
-        found = F.size(F.filter(positions(words, node.terms[0]), lambda p: _and([F.coalesce(F.get(words, p + i + 1) == t, F.lit(False)) for i, t in enumerate(node.terms[1:])] or [F.lit(True)])))
-        tf = F.when(found > 0, found.cast("double")).otherwise(1.0 / (1 + phrase_spread(words, node.terms)))
-        return F.coalesce(F.lit(idf) * tf / (tf + K1 * (1 - B + B * F.size(words) / F.lit(avg or 1.0))), F.lit(0.0))
+        found = F.size(phrase_starts(node.field, tuple((t,) for t in node.terms)))
+        tf = F.when(found > 0, found.cast("double")).otherwise(1.0 / (1 + phrase_spread(node.field, node.terms)))
+        return F.coalesce(F.lit(idf) * tf / (tf + K1 * (1 - B + B * _length(node.field) / F.lit(avg or 1.0))), F.lit(0.0))
     if isinstance(node, q.Bool):
         return sum((F.when(match(x), score(x, stats)).otherwise(0.0) for x in node.must + node.should), F.lit(0.0))
     if isinstance(node, q.DisMax):
@@ -268,12 +326,12 @@ def score(node: q.Node, stats: dict) -> Column:
         import math
 
         out = F.lit(0.0)
-        length = sum((w * F.coalesce(F.size(_f(f)), F.lit(0)) for f, w in node.fields), F.lit(0.0))
+        length = sum((w * F.coalesce(_length(f), F.lit(0)) for f, w in node.fields), F.lit(0.0))
         avg = sum(w * stats[f][1] for f, w in node.fields)
         n = max(stats[f][0] for f, _ in node.fields)
         for t in node.terms:
             df = max(stats[(f, t)] for f, _ in node.fields)
-            tf = sum((w * F.coalesce(frequency(_f(f), t), F.lit(0)) for f, w in node.fields), F.lit(0.0))
+            tf = sum((w * F.coalesce(_frequency(f, t), F.lit(0)) for f, w in node.fields), F.lit(0.0))
             out = out + F.when(tf > 0, F.lit(math.log(1 + (n - df + 0.5) / (df + 0.5))) * tf / (tf + K1 * (1 - B + B * length / F.lit(avg or 1.0)))).otherwise(0.0)
         return out
     if isinstance(node, q.Constant):
@@ -297,6 +355,8 @@ def hits(corpus: Corpus, node: q.Node) -> DataFrame:
     expression that binds the token arrays first: pushed down as it is, a bare reference would be
     replaced by the analysis itself at every place where it is used.
     """
+    if isinstance(corpus, Corpus) and hasattr(corpus, "postings"):
+        return corpus.hits(node)
     parts = conjuncts(node)
     out = corpus.docs
     for x in parts:
@@ -317,13 +377,32 @@ def _bound_match(node: q.Node, fields: dict[str, Column]) -> Column:
         _BOUND.reset(token)
 
 
-def search(corpus: Corpus, node: q.Node, top: int | None = 100, similarity: str = "bm25") -> DataFrame:
-    """(id, score): the best documents; equal rounded scores by id. ``similarity``: bm25, classic or boolean, for terms."""
+def scored(corpus: Corpus, node: q.Node, similarity: str = "bm25") -> DataFrame:
+    """The matching documents with a column ``score``."""
     need = terms_of(node)
     stats = (corpus.stats(need) if need else {}) | {"similarity": similarity}
-    found = hits(corpus, node).select(F.col(corpus.id), F.round(score(node, stats), 6).alias("score"))
+    if hasattr(corpus, "postings"):
+        return corpus.hits(node, stats)
+    return hits(corpus, node).withColumn("score", F.round(score(node, stats), 6))
+
+
+def search(corpus: Corpus, node: q.Node, top: int | None = 100, similarity: str = "bm25") -> DataFrame:
+    """(id, score): the best documents; equal rounded scores by id. ``similarity``: bm25, classic or boolean, for terms."""
+    if hasattr(corpus, "postings"):
+        need = terms_of(node)
+        found = corpus.found(node, (corpus.stats(need) if need else {}) | {"similarity": similarity}).select(corpus.id, "score")
+    else:
+        found = scored(corpus, node, similarity).select(corpus.id, "score")
     return found.orderBy(F.desc("score"), corpus.id).limit(top) if top is not None else found
 
 
+def ids(corpus: Corpus, node: q.Node) -> DataFrame:
+    """(id) of the matching documents."""
+    return (corpus.found(node) if hasattr(corpus, "postings") else hits(corpus, node)).select(corpus.id)
+
+
 def count(corpus: Corpus, node: q.Node) -> DataFrame:
-    return hits(corpus, node).agg(F.count("*").alias("hit_count"))
+    """(hit_count): of one term, its document frequency."""
+    if hasattr(corpus, "postings") and isinstance(node, q.Term):
+        return corpus.dictionary(node.field).where(F.col("term") == node.term).agg(F.coalesce(F.sum("df"), F.lit(0)).alias("hit_count"))
+    return ids(corpus, node).agg(F.count("*").alias("hit_count"))

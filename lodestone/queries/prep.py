@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import prep
 from lodestone.queries.registry import query
-from lodestone.runtime import shared_dir
+from lodestone.runtime import scratch
 from lodestone.sources import writers
 from lodestone.tables import table
 
@@ -167,6 +166,6 @@ def disk_usage(spark, sf):
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
 def index_sort(spark, sf):
     """Written in order of the date, so that a range of dates reads few files."""
-    path = f"{shared_dir(spark)}/sorted-{uuid.uuid4().hex}"
+    path = scratch(spark, "sorted")
     writers.write_sorted(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), path, "o_orderdate")
     return spark.read.parquet(path).where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from lodestone.operators import language
 from lodestone.queries.registry import query
-from lodestone.runtime import shared_dir
+from lodestone.runtime import scratch
 from lodestone.sources import readers
 from lodestone.tables import table
 
 
 def _place(spark) -> str:
-    return f"{shared_dir(spark)}/format-{uuid.uuid4().hex}"
+    return scratch(spark, "format")
 
 
 _DOCS = r"SELECT id, nullif(regexp_replace(any_value(title), '[\t\r\n]+', ' ', 'g'), '') AS title, nullif(regexp_replace(any_value(text), '[\t\r\n]+', ' ', 'g'), '') AS body FROM line_docs WHERE id IS NOT NULL GROUP BY id"

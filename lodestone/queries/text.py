@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import collect, tasks
-from lodestone.plans import dsl, planner
+from lodestone.plans import dsl, index, planner
 from lodestone.plans import spec as q
 from lodestone.queries.registry import query
 from lodestone.tables import table
@@ -16,14 +16,20 @@ COLUMNS = ["doc_id", "lang", "source", "username", "n_chars", "updated_at", "tex
 
 
 def docs(spark: SparkSession, sf: str) -> planner.Corpus:
+    """The documents' index; built at the first query of a session that finds none."""
     d = table(spark, sf, "documents").select(*COLUMNS).withColumn("ordinal", F.col("doc_id"))
-    return planner.Corpus(d, "doc_id", {"body": "text"})
+    return index.open_index("documents", d, "doc_id", {"body": "text"}, ("ordinal",))
 
 
 def pages(spark: SparkSession, sf: str) -> planner.Corpus:
-    """line_docs once an id, with the id's number."""
+    """The index of line_docs, once an id."""
     d = table(spark, sf, "line_docs").select("id", "title", "text", "character_count", "ref_count", "username").where("id is not null")
-    return planner.Corpus(d.dropDuplicates(["id"]), "id", {"title": "title", "body": "text"})
+    return index.open_index("pages", d.dropDuplicates(["id"]), "id", {"title": "title", "body": "text"})
+
+
+def words(spark: SparkSession, sf: str) -> DataFrame:
+    """(term, df, ttf) of the documents' texts."""
+    return docs(spark, sf).dictionary("body")
 
 
 # SQL pieces
@@ -69,7 +75,7 @@ def ids_sql(where: str) -> str:
 
 
 def ids(spark, sf, node) -> DataFrame:
-    return planner.hits(docs(spark, sf), node).select("doc_id")
+    return planner.ids(docs(spark, sf), node)
 
 
 T = q.Term
@@ -229,23 +235,23 @@ DICT = f"{D}, dict AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id,
 
 @query(f"WITH {DICT} SELECT term, df FROM dict WHERE damerau_levenshtein(term, 'sgement') <= 1")
 def fuzzy_swap(spark, sf):
-    d = collect.document_frequencies(table(spark, sf, "documents").select("text"), "text")
+    d = words(spark, sf).select("term", "df")
     return d.where(collect.damerau(F.col("term"), "sgement", 1))
 
 
 @query(f"WITH {DICT} SELECT term, CAST(levenshtein(term, 'indax') AS INTEGER) AS distance, df FROM dict WHERE levenshtein(term, 'indax') BETWEEN 1 AND 2 AND df > coalesce((SELECT max(df) FROM dict WHERE term = 'indax'), 0) ORDER BY distance, df DESC, term LIMIT 10")
 def respell(spark, sf):
-    return collect.respell(collect.document_frequencies(table(spark, sf, "documents").select("text"), "text"), "indax")
+    return collect.respell(words(spark, sf).select("term", "df"), "indax")
 
 
 @query(f"WITH {DICT} SELECT term, df FROM dict WHERE starts_with(term, 'se') ORDER BY df DESC, term LIMIT 10")
 def suggest(spark, sf):
-    return collect.suggest(collect.document_frequencies(table(spark, sf, "documents").select("text"), "text"), "se")
+    return collect.suggest(words(spark, sf).select("term", "df"), "se")
 
 
 @query(f"WITH {DICT}, m AS (SELECT max(df) AS m FROM dict) SELECT term, df, CASE WHEN df >= m // 10 THEN 'High' WHEN df >= m // 100 THEN 'Med' ELSE 'Low' END AS band FROM dict, m")
 def term_bands(spark, sf):
-    d = collect.document_frequencies(table(spark, sf, "documents").select("text"), "text")
+    d = words(spark, sf).select("term", "df")
     most = d.agg(F.max("df")).first()[0] or 0
     band = F.when(F.col("df") >= most // 10, "High").when(F.col("df") >= most // 100, "Med").otherwise("Low")
     return d.withColumn("band", band)
@@ -253,7 +259,7 @@ def term_bands(spark, sf):
 
 @query(rf"WITH {D}, s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS shingle FROM d WHERE len(w) >= 2), c AS (SELECT shingle, count(*) AS df FROM s GROUP BY shingle), m AS (SELECT max(df) AS m FROM c) SELECT shingle, df, CASE WHEN df >= m // 10 THEN 'High' WHEN df >= m // 100 THEN 'Med' ELSE 'Low' END AS band FROM c, m WHERE df >= greatest(2, m // 1000)")
 def shingle_bands(spark, sf):
-    d = table(spark, sf, "documents").select(tx.tokens(F.col("text")).alias("w"))
+    d = docs(spark, sf).analysed().select(F.col("__body").alias("w"))
     c = d.select(F.explode(F.array_distinct(tx.shingles(F.col("w")))).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df"))
     most = c.agg(F.max("df")).first()[0] or 0
     c = c.where(F.col("df") >= max(2, most // 1000))
@@ -262,20 +268,20 @@ def shingle_bands(spark, sf):
 
 @query(f"WITH {DICT}, m AS (SELECT max(df) AS m FROM dict) SELECT CAST(floor(log2(m / df)) AS BIGINT) AS band, count(*) AS terms, min(df) AS least_df, max(df) AS most_df FROM dict, m GROUP BY 1")
 def msm_bands(spark, sf):
-    d = collect.document_frequencies(table(spark, sf, "documents").select("text"), "text")
+    d = words(spark, sf).select("term", "df")
     most = d.agg(F.max("df")).first()[0] or 0
     return d.groupBy(F.floor(F.log2(F.lit(float(most)) / F.col("df"))).alias("band")).agg(F.count("*").alias("terms"), F.min("df").alias("least_df"), F.max("df").alias("most_df"))
 
 
 @query(f"WITH {D}, p AS (SELECT doc_id, unnest(w) AS term FROM d) SELECT term, count(*) AS ttf, count(DISTINCT doc_id) AS df FROM p GROUP BY term")
 def vocabulary(spark, sf):
-    return collect.term_stats(table(spark, sf, "documents").select("text"), "text").select("term", "ttf", "df")
+    return words(spark, sf).select("term", "ttf", "df")
 
 
 @query(f"WITH {D}, p AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d) SELECT term, doc_id AS doc, count(*) AS tf, min(pos) AS first_pos, max(pos) AS last_pos FROM p GROUP BY term, doc_id")
 def postings(spark, sf):
-    p = collect.postings(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
-    return p.select("term", "doc", "tf", F.array_min("positions").cast("long").alias("first_pos"), F.array_max("positions").cast("long").alias("last_pos"))
+    p = docs(spark, sf).postings.where("field = 'body'")
+    return p.select("term", "doc", F.col("tf").cast("long").alias("tf"), F.array_min("positions").cast("long").alias("first_pos"), F.array_max("positions").cast("long").alias("last_pos"))
 
 
 # ---- scoring over fields
@@ -359,15 +365,13 @@ def search_after(spark, sf):
 
 @query(f"WITH {D}, {stats(['segment'])}, h AS (SELECT doc_id, source, round({bm('segment')}, 6) AS score FROM d, st WHERE {has('segment')} AND source IS NOT NULL), g AS (SELECT source, max(score) AS group_best FROM h GROUP BY source ORDER BY group_best DESC, source LIMIT 10), r AS (SELECT source, doc_id, score, group_best, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS group_rank FROM h JOIN g USING (source)) SELECT source, doc_id, score, group_best, CAST(group_rank AS INTEGER) AS group_rank FROM r WHERE group_rank <= 10")
 def group_top10x10(spark, sf):
-    c = docs(spark, sf)
-    st = c.stats({("body", "segment")})
-    h = planner.hits(c, T("segment")).select("doc_id", "source", F.round(planner.score(T("segment"), st), 6).alias("score"))
+    h = planner.scored(docs(spark, sf), T("segment")).select("doc_id", "source", "score")
     return collect.group_top(h, "source", [F.desc("score"), F.col("doc_id")], F.col("score"), 10, 10).select("source", "doc_id", "score", "group_best", "group_rank")
 
 
 @query(f"WITH {D} SELECT count(DISTINCT doc_id % 100) AS groups FROM d WHERE {has('segment')}")
 def group_count(spark, sf):
-    return planner.hits(docs(spark, sf), T("segment")).agg(F.count_distinct(F.col("doc_id") % 100).alias("groups"))
+    return planner.ids(docs(spark, sf), T("segment")).agg(F.count_distinct(F.col("doc_id") % 100).alias("groups"))
 
 
 @query(f"WITH {D}, h AS (SELECT doc_id, doc_id // 10 AS block, n_chars FROM d WHERE {has('segment')} AND n_chars IS NOT NULL), g AS (SELECT block, max(n_chars) AS group_best FROM h GROUP BY block ORDER BY group_best DESC, block LIMIT 10), r AS (SELECT block, doc_id, n_chars, row_number() OVER (PARTITION BY block ORDER BY n_chars DESC, doc_id) AS rn FROM h JOIN g USING (block)) SELECT block, doc_id, n_chars, CAST(rn AS INTEGER) AS group_rank FROM r WHERE rn <= 10")
@@ -391,8 +395,8 @@ _STOP = ", ".join(f"'{w}'" for w in tx.STOP)
 
 @query(rf"WITH {D} SELECT doc_id, len(list_filter(w, lambda x: x NOT IN ({_STOP}))) AS n_words FROM d WHERE text IS NOT NULL")
 def analyse_stop(spark, sf):
-    w = tx.without_stop_words(tx.tokens(F.col("text")))
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.size(w).cast("long").alias("n_words"))
+    w = tx.without_stop_words(F.col("__body"))
+    return docs(spark, sf).analysed().where("__body is not null").select("doc_id", F.size(w).cast("long").alias("n_words"))
 
 
 @query(rf"WITH {L} SELECT id, array_to_string(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]), '|') AS shingles FROM l WHERE len(a) >= 2")
@@ -415,9 +419,9 @@ def analyse_whitespace(spark, sf):
 
 @query()
 def random_label(spark, sf):
-    w = tx.tokens(F.col("text"))
+    w = F.col("__body")
     pick = F.element_at(w, (F.pmod(F.xxhash64("doc_id"), F.size(w)) + 1).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", F.when(F.size(w) > 0, pick).alias("label"))
+    return docs(spark, sf).analysed().select("doc_id", F.when(F.size(w) > 0, pick).alias("label"))
 
 
 _CL = f"sqrt({tf('segment')}) * power(1 + ln((st.n + 1) / (st.df_segment + 1)), 2) / sqrt(len(w))"
@@ -436,10 +440,10 @@ def boolean_top10(spark, sf):
 @query(f"WITH {D}, h AS (SELECT doc_id FROM d WHERE {has('segment')} ORDER BY doc_id LIMIT 10) SELECT doc_id, source, username FROM documents JOIN h USING (doc_id)")
 def stored_fields(spark, sf):
     """The stored fields of hits: an equi-join of ten ids with the documents."""
-    h = planner.hits(docs(spark, sf), T("segment")).select("doc_id").orderBy("doc_id").limit(10)
+    h = ids(spark, sf, T("segment")).orderBy("doc_id").limit(10)
     return table(spark, sf, "documents").select("doc_id", "source", "username").join(h, "doc_id", "left_semi")
 
 
 @query()
 def generated_tasks(spark, sf):
-    return tasks.generate(collect.document_frequencies(table(spark, sf, "documents").select("text"), "text"))
+    return tasks.generate(words(spark, sf).select("term", "df"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,14 +12,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+def machine_local(spark: SparkSession) -> bool:
+    """Whether the driver is the only machine there is."""
+    return spark.sparkContext.master.startswith("local")
+
+
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir`` that every executor can reach.
 
-    Only a session without that setting (a test on one machine) gets a folder of its own.
+    Only a session on one machine may do without that setting and gets a folder of its own, which
+    goes when the driver ends; on a cluster such a folder would lose data, so there it is an error.
     """
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        if not machine_local(spark):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+            atexit.register(shutil.rmtree, _OWN[app].removeprefix("file://"), ignore_errors=True)
+        got = _OWN[app]
         spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
 
@@ -29,7 +45,15 @@ def _forget(spark: SparkSession, path: str) -> None:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     except Exception:  # noqa: BLE001 - the session may be gone already
-        pass
+        if path.startswith(("file:", "/")):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose files go when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -39,9 +63,8 @@ def materialise(df: DataFrame) -> DataFrame:
     several branches of a plan start from one result. The files go when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
     return spark.read.parquet(path)
 
 

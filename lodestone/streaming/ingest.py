@@ -7,14 +7,13 @@ the same version again. Readers take the last whole version and never see a half
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.prep import latest
-from lodestone.runtime import shared_dir
+from lodestone.runtime import scratch
 
 
 def _fs(spark: SparkSession, path: str):
@@ -28,7 +27,7 @@ class Versions:
 
     def __init__(self, spark: SparkSession, path: str | None = None, keep: int = 3):
         self.spark, self.keep = spark, keep
-        self.path = path or f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+        self.path = path or scratch(spark, "versions")
 
     def numbers(self) -> list[int]:
         fs, at = _fs(self.spark, self.path)
@@ -68,7 +67,7 @@ def replay(spark: SparkSession, path: str, files_per_trigger: int = 1, schema=No
 
 def run(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", every: str | None = None):
     """Start; without ``every`` take what is there and stop."""
-    place = f"{shared_dir(stream.sparkSession)}/progress-{uuid.uuid4().hex}"
+    place = scratch(stream.sparkSession, "progress")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", place).foreachBatch(each)
     query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
     if not every:
