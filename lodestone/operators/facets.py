@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,24 @@ def character_bucket(n: Column) -> Column:
         return F.concat(low.cast("string"), F.lit(" - "), (low + width).cast("string"))
 
     return F.array(*[level(w) for w in (1_000_000, 100_000, 10_000, 1_000)])
+
+
+def top_labels(labels: DataFrame, top: int) -> DataFrame:
+    """(dim, label, count): the most frequent labels of each dimension, from (dim, label) rows."""
+    counts = labels.groupBy("dim", "label").agg(F.count("*").alias("count"))
+    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("count"), "label"))
+    return counts.withColumn("r", rank).where(F.col("r") <= top).drop("r")
+
+
+def merge_shards(shards: DataFrame, keys: list[str], top: int, factor: int = 2) -> DataFrame:
+    """(keys, label, count): top labels over shards that each send only their ``top * factor`` first.
+
+    Protocol: every shard sends its first labels; the labels sent by any are candidates; for a
+    candidate that a shard did not send the shard is asked again, so the counts of candidates are
+    whole. ``shards``: keys, shard, label, c (one row each).
+    """
+    own = Window.partitionBy(*keys, "shard").orderBy(F.desc("c"), "label")
+    sent = shards.withColumn("r", F.row_number().over(own)).where(F.col("r") <= top * factor).select(*keys, "label").distinct()
+    whole = shards.join(sent, [*keys, "label"], "left_semi").groupBy(*keys, "label").agg(F.sum("c").alias("count"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), "label")) if keys else F.row_number().over(Window.orderBy(F.desc("count"), "label"))
+    return whole.withColumn("r", rank).where(F.col("r") <= top).drop("r")

@@ -100,8 +100,8 @@ class Range(Node):
     """Inclusive at both ends; None is open."""
 
     column: str
-    low: float | None
-    high: float | None
+    low: int | float | None
+    high: int | float | None
 
 
 @dataclass(frozen=True)
@@ -139,9 +139,10 @@ class Combined(Node):
 
 @dataclass(frozen=True)
 class Knn(Node):
-    vector: tuple[float, ...]
-    k: int = 10
-    column: str = "vector"
+    """By a vector stated in numbers, or by the words whose vectors are to be added up."""
+
+    vector: tuple[float, ...] = ()
+    words: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -153,11 +154,12 @@ class Request:
     count: bool = False
     top: int = 100
     sort: str | None = None
-    after: float | None = None
+    after: int | float | None = None
     group: str | None = None
     facets: tuple[str, ...] = ()
     drill_down: tuple[tuple[str, tuple[str, ...]], ...] = ()
     drill_sideways: bool = False
     highlight: bool = False
     respell: str | None = None
+    pre_filter: bool = False
     notes: tuple[str, ...] = field(default=(), compare=False)

@@ -23,8 +23,12 @@ def docs(spark: SparkSession, sf: str) -> planner.Corpus:
 
 def pages(spark: SparkSession, sf: str) -> planner.Corpus:
     """The index of line_docs, once an id."""
-    d = table(spark, sf, "line_docs").select("id", "title", "text", "character_count", "ref_count", "username").where("id is not null")
-    return index.open_index("pages", d.dropDuplicates(["id"]), "id", {"title": "title", "body": "text"})
+    d = table(spark, sf, "line_docs").select("id", "title", "text", "character_count", "ref_count", "username", "random_label", "vector", "received_at").where("id is not null")
+    at = F.col("received_at")
+    d = d.dropDuplicates(["id"]).withColumns({
+        "ordinal": tx.from_base36(F.col("id")), "lastmod": F.unix_millis(at.cast("timestamp")), "month": F.date_format(at, "MMMM"), "dayofyear": F.dayofyear(at),
+        "timesecnum": F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at), "year": F.year(at)})
+    return index.open_index("pages", d.drop("received_at"), "id", {"title": "title", "body": "text"})
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
