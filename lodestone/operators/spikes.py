@@ -1,11 +1,12 @@
 """Implausible measurements, per source.
 
-Normal behaviour of a source is the low-rank part of its profile matrix (one row per ``WIDTH``
-successive readings, the source's working day), found by robust principal components: the sparse
-part holds the spikes. The low-rank part is kept within ``BAND`` scales of the source's median, so
-every reading further off than ``LIMIT`` scales stands out of it by more than ``LIMIT - BAND`` and
-is a candidate; candidates are then measured exactly against median and deviation. Impossible
-values and constant runs are tested separately.
+The readings of a source, in the order of its own running number and on the scale of its median
+and deviation, fill a profile matrix: a row is a working day of ``WIDTH`` successive readings.
+Robust principal components (principal component pursuit by augmented Lagrange multipliers) split
+the matrix into a low-rank part, the source's normal behaviour, and a sparse part. A reading's
+score is its sparse part over the residual's own median size in that source; what scores more than
+``SCORE`` is a candidate, and nothing else is looked at again. Candidates are then measured exactly
+against median and deviation. Impossible values and constant runs are tested separately.
 
 Sources with up to ``LIGHT_ROWS`` readings are worked on whole. Larger ones are cut into blocks of
 successive numbers; their medians come from mergeable histograms, and runs that reach a block's
@@ -28,11 +29,15 @@ from pyspark.sql import functions as F
 from lodestone.runtime import group_codes, materialise, whole_groups
 
 WIDTH = 8
-BAND, LIMIT = 8.0, 12.0
+#: A candidate's score, the deviations that make a case of it, and how far out readings tell no more.
+SCORE, LIMIT, FAR = 6.0, 12.0, 48.0
 RUN = 8
 LIGHT_ROWS = 20_000
 BLOCK = 4096
-ITERATIONS = 6
+ITERATIONS = 12
+#: Weight of the sparse part, of the usual 1 / sqrt(longer side): profile matrices are small, and a
+#: spike must not pass for a component of its own.
+SPARSE_WEIGHT = 0.6
 
 #: field: (floor of the deviation, smallest possible value, largest, tested for runs, histogram step)
 FIELDS = {
@@ -42,14 +47,14 @@ FIELDS = {
 }
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, step: float) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, step: float | Column) -> DataFrame:
     """keys, median: exact for groups of any size (mean of the middle two if their number is even).
 
     Counts per histogram step are merged map-side; a group's steps are bounded by a constant, and
     only the values of the one or two steps that hold the middle ranks are looked at again.
     """
     bound = float(1 << 22)
-    step_no = F.greatest(F.least(F.floor(F.col(value) / F.lit(step)).cast("double"), F.lit(bound)), F.lit(-bound)).cast("long")
+    step_no = F.greatest(F.least(F.floor(F.col(value) / (step if isinstance(step, Column) else F.lit(step))).cast("double"), F.lit(bound)), F.lit(-bound)).cast("long")
     df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"), step_no.alias("__b"))
     counts = df.groupBy(*keys, "__b").agg(F.count("*").alias("n"))
     group = Window.partitionBy(*keys)
@@ -62,36 +67,39 @@ def exact_median(df: DataFrame, keys: list[str], value: str, step: float) -> Dat
     return near.groupBy(*keys).agg(((F.min("__v") + F.max("__v")) / 2).alias("median"))
 
 
-def robust_pca(rows: np.ndarray, group: np.ndarray, n: int, iterations: int = ITERATIONS) -> np.ndarray:
+def robust_pca(rows: np.ndarray, group: np.ndarray, iterations: int = ITERATIONS) -> np.ndarray:
     """Low-rank part of many matrices at once (principal component pursuit).
 
     ``rows`` holds the rows of all matrices, ``group`` (ascending) the matrix of each. The singular
-    value thresholding is done on the small Gram matrices.
+    value thresholding is done on the small Gram matrices; the penalty grows by half a step, so
+    that low-rank and sparse part add up to the matrix at the end.
     """
     if not len(rows):
         return rows
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     height = np.diff(np.r_[first, len(rows)])
-    width = rows.shape[1]
-    tall = np.maximum(height, width)
-    mass = np.add.reduceat(np.abs(rows).sum(1), first)
-    mu = height * width / (4.0 * np.maximum(mass, 1e-9))
     at = np.repeat(np.arange(len(first)), height)
-    weak = (1.0 / np.sqrt(tall) / mu)[at][:, None]
-    mu_row = mu[at][:, None]
-    sparse, dual = np.zeros_like(rows), np.zeros_like(rows)
-    low = rows
+    weight = SPARSE_WEIGHT / np.sqrt(np.maximum(height, rows.shape[1]))
+    spread = lambda x: x[at][:, None]
+
+    def gram(x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[:, :, None] * x[:, None, :], first, axis=0)
+
+    norm = np.sqrt(np.maximum(np.linalg.eigvalsh(gram(rows))[:, -1], 1e-18))
+    dual = rows / spread(np.maximum(norm, np.maximum.reduceat(np.abs(rows).max(1), first) / weight))
+    mu = 1.25 / norm
+    sparse, low = np.zeros_like(rows), rows.copy()
     for _ in range(iterations):
-        x = rows - sparse + dual / mu_row
-        gram = np.add.reduceat(x[:, :, None] * x[:, None, :], first, axis=0)
-        values, vectors = np.linalg.eigh(gram)
+        x = rows - sparse + dual / spread(mu)
+        values, vectors = np.linalg.eigh(gram(x))
         sigma = np.sqrt(np.maximum(values, 1e-18))
         keep = np.maximum(0.0, 1.0 - 1.0 / (mu[:, None] * sigma))
         project = np.einsum("gij,gj,gkj->gik", vectors, keep, vectors)
         low = np.einsum("ri,rij->rj", x, project[at])
-        rest = rows - low + dual / mu_row
-        sparse = np.sign(rest) * np.maximum(np.abs(rest) - weak, 0.0)
-        dual = dual + mu_row * (rows - low - sparse)
+        rest = rows - low + dual / spread(mu)
+        sparse = np.sign(rest) * np.maximum(np.abs(rest) - spread(weight / mu), 0.0)
+        dual = dual + spread(mu) * (rows - low - sparse)
+        mu = mu * 1.5
     return low
 
 
@@ -106,7 +114,7 @@ def spikes(value: np.ndarray, group: np.ndarray, median: np.ndarray, scale: np.n
         return hit
     v, g, m, s = value[use], group[use], median[use], scale[use]
     with np.errstate(over="ignore"):
-        z = np.clip((v - m) / s, -1e6, 1e6)
+        z = np.clip((v - m) / s, -FAR, FAR)
     first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
     size = np.diff(np.r_[first, len(g)])
     place = np.arange(len(g)) - np.repeat(first, size)
@@ -115,11 +123,17 @@ def spikes(value: np.ndarray, group: np.ndarray, median: np.ndarray, scale: np.n
     matrix = np.zeros((rows.sum(), WIDTH))
     at = np.repeat(base, size) + place // WIDTH, place % WIDTH
     matrix[at] = z
-    low = robust_pca(matrix, np.repeat(np.arange(len(rows)), rows), len(rows))
-    normal = np.clip(np.nan_to_num(low[at]), -BAND, BAND)
-    candidate = np.abs(z - normal) > (LIMIT - BAND) * (1 - 1e-9)
+    low = robust_pca(matrix, np.repeat(np.arange(len(rows)), rows))
+    # fewer working days than a day has readings show no behaviour but median and scale
+    short = rows < WIDTH
+    low[np.repeat(short, rows)] = 0.0
+    sparse = np.abs(z - low[at])
+    # the residual's usual size; readings vary by about one scale, so it is taken as one at least
+    source = np.repeat(np.arange(len(size)), size)
+    usual = np.where(short, 1.0, np.maximum(1.0, group_median(sparse, source, len(size))))[source]
+    candidate = np.flatnonzero(sparse > SCORE * usual)
     with np.errstate(over="ignore"):
-        hit[use] = candidate & (np.abs(v - m) > LIMIT * s)
+        hit[use[candidate]] = np.abs(v[candidate] - m[candidate]) > LIMIT * s[candidate]
     return hit
 
 
@@ -229,17 +243,16 @@ def find_spikes(trips: DataFrame) -> DataFrame:
 
 
 def _scales(rows: DataFrame) -> DataFrame:
-    """source, then median and mad of every field over the source's finite values."""
-    out = None
-    for name, (*_, step) in FIELDS.items():
-        value = F.when(F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(name) < float("inf")), F.col(name))
-        flat = rows.select("source", value.alias("v")).where("v is not null")
-        median = exact_median(flat, ["source"], "v", step)
-        off = flat.join(median, "source").select("source", F.abs(F.col("v") - F.col("median")).alias("v"))
-        mad = exact_median(off, ["source"], "v", step).withColumnRenamed("median", f"{name}__mad")
-        both = median.withColumnRenamed("median", f"{name}__median").join(mad, "source")
-        out = both if out is None else out.join(both, "source", "full")
-    return out
+    """source, then median and mad of every field over the source's finite values; two passes for all fields."""
+    finite = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    readings = F.array(*[F.struct(F.lit(name).alias("field"), finite(name).alias("v"), F.lit(step).alias("step")) for name, (*_, step) in FIELDS.items()])
+    flat = rows.select("source", F.explode(readings).alias("r")).select("source", "r.*").where("v is not null")
+    keys = ["source", "field"]
+    median = exact_median(flat, keys, "v", F.col("step"))
+    off = flat.join(median, keys).select(*keys, "step", F.abs(F.col("v") - F.col("median")).alias("v"))
+    both = median.join(exact_median(off, keys, "v", F.col("step")).withColumnRenamed("median", "mad"), keys)
+    one = lambda c, name: F.max(F.when(F.col("field") == name, F.col(c))).alias(f"{name}__{c}")
+    return both.groupBy("source").agg(*[one(c, name) for name in FIELDS for c in ("median", "mad")])
 
 
 def _joined_runs(border: DataFrame) -> DataFrame:

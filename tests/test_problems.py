@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
 import plain
 import pytest
 from lodestone.operators import drift, instants, spatial, spikes
@@ -210,3 +211,32 @@ def test_one_table_keeps_every_value(spark):
     assert [k for k in docs[0] if types[k] == "double"] == ["cpu_ms", "cores", "z"] and "z_raw" not in types
     assert [got[i]["cpu_ms"] for i in (1, 2, 3)] == [1.5, 2.5, 3.5] and [got[i]["cores"] for i in (1, 2, 3)] == [2.0, 12.394, 4.0]
     assert got[2]["cores_raw"] == "~12.394" and got[2]["rev"] == "19" and got[1]["big"] == str(2**60 + 1)
+
+
+def test_the_decomposition_decides_what_is_a_spike(monkeypatch):
+    """Sources with a profile of their own and spikes of 13 to 40 scales: found whole, and not with noise for the low-rank part."""
+    rng = np.random.default_rng(5)
+    value, group, true = [], [], []
+    for g in range(60):
+        n = int(rng.integers(60, 400))
+        profile = np.tile(rng.normal(0, 0.8, 8), n // 8 + 1)[:n] * rng.uniform(0.5, 1.5)
+        v = profile + rng.normal(0, 0.7, n)
+        at = rng.random(n) < 0.03
+        v[at] += rng.choice([-1, 1], at.sum()) * rng.uniform(16, 40, at.sum())
+        value.append(v)
+        group.append(np.full(n, g))
+    value, group = np.concatenate(value), np.concatenate(group)
+    median = spikes.group_median(value, group, 60)[group]
+    scale = spikes.group_median(np.abs(value - median), group, 60)[group]
+    true = np.abs(value - median) > spikes.LIMIT * scale
+    assert true.sum() > 100 and (spikes.spikes(value, group, median, scale) == true).all()
+    monkeypatch.setattr(spikes, "robust_pca", lambda rows, group: np.random.default_rng(1).normal(0, 10, rows.shape))
+    assert spikes.spikes(value, group, median, scale).sum() < 0.8 * true.sum()
+
+
+def test_low_rank_and_sparse_parts_are_told_apart():
+    rng = np.random.default_rng(2)
+    low = rng.normal(size=(40, 1)) @ rng.normal(size=(1, 8)) * 2
+    sparse = np.where(rng.random(low.shape) < 0.04, 30.0, 0.0)
+    got = spikes.robust_pca(low + sparse, np.zeros(40, int))
+    assert np.median(np.abs(got - low)) < 0.5 and np.abs(got - low)[sparse > 0].max() < 15
