@@ -5,16 +5,23 @@ of half-keys are made from minhashes; every pair of a half-key of the first and
 is the key of a table, so ``half * half`` tables need only ``2 * half`` half-keys. Records that
 share a key in any table are candidates, and candidates are verified on their exact sets.
 
-Records with the same words are one class and stand in the tables once. A bucket of at most
-``BUCKET`` classes gives its pairs as candidates. The classes of larger buckets (a text that many
-share in part) are joined exactly instead: two sets of similarity s share one of the rarest
-(1 - s) of their shingles, so each class is filed under those only, which common passages never
-are. Where even such a file is large, its classes really are alike; it is compared block against
-block, in parallel, and only true pairs leave a task. So no partner is ever cut off.
+Records with the same words are one class and stand in the tables once. The keys are counted before
+anything is brought together by them: a bucket of at most ``BUCKET`` classes gives its pairs as
+candidates; the classes of larger buckets (a text that many share in part) are joined exactly
+instead, and never meet in one task: two sets of similarity s share one of the rarest (1 - s) of
+their shingles, so each class is filed under those only, which common passages never are. Where
+even such a file is large, its classes really are alike; it is compared block against block, in
+parallel, where the sets' sizes allow a pair at all, and only true pairs leave a task. So no partner
+is ever cut off.
+
+``near_duplicates`` gives pairs of ids. Every pair of different texts is there. Of the copies of one
+text each is paired with the ``COPIES`` that follow it in the class (all pairs up to that size), and
+each copy of a text with that many copies of every near text, so the rows stay in proportion to the
+ids, by one rule for classes of any size. ``near_duplicate_groups`` gives a row for every id: its
+class, the class's size, the number of near texts and the connected group.
 
 Defined results: null title or text counts as empty; records of fewer than ``least_words`` words
-and null ids are left out; rows with equal id count once. In a class of more than ``EXPAND``
-copies each copy is paired with the class's smallest id only (likewise between large classes).
+and null ids are left out; rows with equal id count once.
 """
 
 from __future__ import annotations
@@ -29,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.vectors import components
 from lodestone.runtime import group_codes, materialise, whole_groups
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -36,8 +44,10 @@ WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: with probability (1 - (1 - s**MINHASHES)**HALF)**2; 0.6: 0.94, 0.7: 0.99.
 HALF, MINHASHES = 8, 2
 BUCKET = 32
-BLOCK = 256
-EXPAND = 64
+BLOCK = 1024
+COPIES = 64
+#: Keys of large buckets are broadcast up to this number (8 bytes each) and joined by shuffle beyond.
+MOST_HOT = 1_000_000
 CACHE = 500_000
 
 
@@ -126,55 +136,75 @@ def _signatures(width: int, least_words: int, collections: int):
     return work
 
 
-def _pairs_of_buckets(keys: list[str], most: int):
-    """Pairs of buckets of up to ``most`` rows; rows of larger ones with a null partner."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, keys, least=50_000):
-            code = group_codes(table, keys)
-            size = np.bincount(code)[code]
-            bucket, doc = table.column("key").to_numpy(), table.column("id")
-            bucket = np.ascontiguousarray(bucket)
-            large = np.flatnonzero(size > most)
-            left, right = [large], [np.full(len(large), -1)]
-            for shift in range(1, most):
-                a = np.flatnonzero((size > shift) & (size <= most))
-                a = a[a + shift < len(code)]
-                a = a[code[a] == code[a + shift]]
-                left.append(a)
-                right.append(a + shift)
-            left, right = np.concatenate(left), np.concatenate(right)
-            seen = pd.DataFrame({"a": left, "b": right})
-            names = doc.to_pandas().to_numpy()
-            out = pd.DataFrame({"key": np.where(seen.b < 0, bucket[left], 0), "a": names[left], "b": np.where(right < 0, None, names[np.maximum(right, 0)])})
-            out = out.drop_duplicates()
-            yield pa.RecordBatch.from_arrays([pa.array(out["key"].to_numpy(np.int64)), pa.array(out["a"], pa.string()), pa.array(out["b"], pa.string())], names=["key", "a", "b"])
-
-    return work
-
-
-def _bucketed(rows: DataFrame) -> DataFrame:
-    """(key, a, b) from (key, id)."""
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_pairs_of_buckets(["key"], BUCKET), "key long, a string, b string")
-
-
-def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, least_words: int = 10, id_col: str = "id", title: str = "title", text: str = "text") -> DataFrame:
-    """(id_a, id_b), id_a < id_b: records whose shingle sets have Jaccard similarity >= least."""
+def _pairs_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): the pairs of the rows of each key, which are ``BUCKET`` at most."""
+    for table in whole_groups(batches, ["key"], least=50_000):
+        code = group_codes(table, ["key"])
+        size = np.bincount(code)[code]
+        left, right = [], []
+        for shift in range(1, int(size.max(initial=1))):
+            a = np.flatnonzero(size > shift)
+            a = a[a + shift < len(code)]
+            a = a[code[a] == code[a + shift]]
+            left.append(a)
+            right.append(a + shift)
+        if not left:
+            continue
+        names = table.column("id").to_pandas().to_numpy()
+        out = pd.DataFrame({"a": names[np.concatenate(left)], "b": names[np.concatenate(right)]}).drop_duplicates()
+        yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.string()), pa.array(out["b"], pa.string())], names=["a", "b"])
+
+
+def _bucketed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (id, key): candidate pairs (a, b) of small buckets, and the (id, key) of large ones.
+
+    The counts of the keys are summed before the shuffle; a hot key's rows never move.
+    """
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key")
+    hot = materialise(counts)
+    few = hot.limit(MOST_HOT + 1).count() <= MOST_HOT
+    side = F.broadcast(hot) if few else hot
+    small = rows.join(side, "key", "left_anti")
+    pairs = small.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_pairs_of_buckets, "a string, b string")
+    return pairs, rows.join(side, "key", "left_semi")
+
+
+def _links(docs: DataFrame, least: float, width: int, least_words: int, id_col: str, title: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """True pairs (a, b) of class representatives, the members (h, id) and the representatives (h, id)."""
     full = _text(docs, id_col, title, text)
-    shape = "id string, h long, keys array<long>"
-    signed = full.mapInArrow(_signatures(width, least_words, 2), shape)
     # equal words are one class; partial aggregation leaves a row a class and task of a hot class
-    signed = materialise(signed)
+    signed = materialise(full.mapInArrow(_signatures(width, least_words, 2), "id string, h long, keys array<long>"))
     reps = signed.groupBy("h").agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys"))
     half = lambda c: F.slice("keys", c * HALF + 1, HALF)
     tables = F.flatten(F.transform(half(0), lambda x, i: F.transform(half(1), lambda y, j: F.xxhash64(x, y, i, j))))
-    pairs = materialise(_bucketed(reps.select("id", F.explode(tables).alias("key"))))
-    found = pairs.where("b is not null").select("a", "b")
-    hot = pairs.where("b is null").select(F.col("a").alias("id"))
-    true = _verified(found.distinct(), full, width, least)
+    pairs, large = _bucketed(materialise(reps.select("id", "keys")).select("id", F.explode(tables).alias("key")))
+    true = _verified(pairs.distinct(), full, width, least)
+    hot = materialise(large.select("id").distinct())
     if hot.head(1):
-        true = true.unionByName(_exact_pairs(hot.select("id").distinct(), full, width, least))
-    return _with_copies(true.distinct(), signed.select("id", "h").distinct(), reps.select("id", "h"))
+        true = true.unionByName(_exact_pairs(hot, full, width, least))
+    return true.distinct(), signed.select("id", "h").distinct(), reps.select("h", "id")
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, least_words: int = 10, id_col: str = "id", title: str = "title", text: str = "text") -> DataFrame:
+    """(id_a, id_b), id_a < id_b: records whose shingle sets have Jaccard similarity >= least; see above for copies."""
+    return _with_copies(*_links(docs, least, width, least_words, id_col, title, text))
+
+
+def near_duplicate_groups(docs: DataFrame, least: float = 0.8, width: int = 5, least_words: int = 10, id_col: str = "id", title: str = "title", text: str = "text") -> DataFrame:
+    """(id, class_id, copies, near_texts, group_id), a row an id.
+
+    ``class_id`` is the smallest id with the same words and ``copies`` how many have them,
+    ``near_texts`` the number of other texts of similarity >= least, ``group_id`` the smallest id
+    that is reached over such links.
+    """
+    links, members, reps = _links(docs, least, width, least_words, id_col, title, text)
+    links = materialise(links)
+    group = components(reps.select("id"), links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("near_texts"))
+    size = members.groupBy("h").agg(F.count("*").alias("copies"))
+    classes = reps.join(size, "h").join(group, "id").join(degree, "id", "left")
+    classes = classes.select("h", F.col("id").alias("class_id"), "copies", F.coalesce("near_texts", F.lit(0)).alias("near_texts"), F.col("component").alias("group_id"))
+    return members.join(classes, "h").select("id", "class_id", "copies", "near_texts", "group_id")
 
 
 def _shingle_sets(full: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -212,9 +242,8 @@ def _exact_pairs(ids: DataFrame, full: DataFrame, width: int, least: float) -> D
     own = order.join(sets.select("id", F.size("s").alias("n")), "id")
     prefix = F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - F.size("by"))
     keyed = own.where(prefix > 0).select("id", F.explode(F.slice("by", F.lit(1), prefix.cast("int"))["key"]).alias("key"))
-    pairs = materialise(_bucketed(keyed))
-    true = _verified(pairs.where("b is not null").select("a", "b").distinct(), full, width, least)
-    large = pairs.where("b is null").select("key", F.col("a").alias("id"))
+    pairs, large = _bucketed(materialise(keyed))
+    true = _verified(pairs.distinct(), full, width, least)
     if not large.head(1):
         return true
     # buckets with the same members are compared once
@@ -224,43 +253,87 @@ def _exact_pairs(ids: DataFrame, full: DataFrame, width: int, least: float) -> D
 
 
 def _block_pairs(hot: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """True pairs within large buckets, each block against each."""
-    number = F.row_number().over(Window.partitionBy("key", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id"))
-    # few ids a part stay one block; a part of a hot bucket is cut every BLOCK ids
-    size = hot.groupBy("key").agg(F.count("*").alias("n"))
-    parts = F.least(F.lit(64), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)))
-    hot = hot.withColumn("number", number).join(size, "key").withColumn("block", F.concat_ws("-", F.pmod(F.pmod(F.xxhash64("id"), F.lit(64)), parts), F.floor(F.col("number") * F.least(F.lit(64), F.ceil(64 / parts)) / BLOCK)))
-    own = materialise(hot.select("key", "block", "id").join(sets, "id"))
-    names = own.select("key", "block").distinct()
-    duty = names.select("key", F.col("block").alias("x")).join(names.select("key", F.col("block").alias("y")), "key").where("x <= y")
-    one = duty.join(own.select("key", F.col("block").alias("x"), "id", "s"), ["key", "x"]).select("key", "x", "y", F.lit(0).alias("side"), "id", "s")
-    two = duty.where("x < y").join(own.select("key", F.col("block").alias("y"), "id", "s"), ["key", "y"]).select("key", "x", "y", F.lit(1).alias("side"), "id", "s")
+    """True pairs within large buckets, block against block.
+
+    Sets whose sizes differ by more than a factor ``least`` can't be alike, so blocks hold sets of
+    one size class (a factor of ``1 / least``) and meet those of the same and the next class only.
+    """
+    own = materialise(hot.select("key", "id").join(sets, "id"))
+    step = float(np.log(1.0 / max(min(least, 0.999), 0.01)))
+    own = own.withColumn("class", F.floor(F.log(F.size("s").cast("double")) / step + 1e-9))
+    size = own.groupBy("key", "class").agg(F.count("*").alias("n"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK))
+    blocks = size.select("key", "class", parts.alias("parts"))
+    own = materialise(own.join(blocks, ["key", "class"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts"))
+    names = blocks.select("key", "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block")).select("key", F.struct("class", "block").alias("x"))
+    other = names.select("key", F.col("x").alias("y"))
+    duty = names.join(other, "key").where((F.col("x") <= F.col("y")) & (F.col("y.class") - F.col("x.class") <= 1))
+    at = F.struct("class", F.col("block").cast("long").alias("block"))
+    own = own.select("key", at.alias("at"), "id", "s")
+    one = duty.join(own.withColumnRenamed("at", "x"), ["key", "x"]).select("key", "x", "y", F.lit(0).alias("side"), "id", "s")
+    two = duty.where("x < y").join(own.withColumnRenamed("at", "y"), ["key", "y"]).select("key", "x", "y", F.lit(1).alias("side"), "id", "s")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        docs = [(i, side, set(s.tolist())) for i, side, s in zip(frame["id"], frame["side"], frame["s"])]
-        within = frame["x"].iloc[0] == frame["y"].iloc[0]
-        out = []
-        for n, (i, side, s) in enumerate(docs):
-            for j, other, t in docs[n + 1 :]:
-                if (within or side != other) and min(len(s), len(t)) >= least * max(len(s), len(t)):
-                    both = len(s & t)
-                    if both >= least * (len(s) + len(t) - both) - 1e-9:
-                        out.append((min(i, j), max(i, j)))
-        return pd.DataFrame(out, columns=["a", "b"])
+        side, ids = frame["side"].to_numpy(), frame["id"].to_numpy()
+        within = not side.any()
+        first = np.flatnonzero(side == 0)
+        second = first if within else np.flatnonzero(side == 1)
+        i, j = alike([np.asarray(frame["s"].iloc[r]) for r in first], [np.asarray(frame["s"].iloc[r]) for r in second], least)
+        a, b = ids[first[i]], ids[second[j]]
+        keep = a < b if within else np.ones(len(a), bool)
+        return pd.DataFrame({"a": np.minimum(a[keep], b[keep]), "b": np.maximum(a[keep], b[keep])})
 
     return one.unionByName(two).groupBy("key", "x", "y").applyInPandas(compare, "a string, b string").distinct()
 
 
+def alike(x: list[np.ndarray], y: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of the sets of x and y with Jaccard similarity >= least; the sets hold distinct numbers.
+
+    Intersections are counted by multiplying membership matrices, some shingles at a time.
+    """
+    nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    if not len(x) or not len(y):
+        return np.zeros(0, int), np.zeros(0, int)
+    values, code = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), np.r_[nx, ny])
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    both = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, len(values), 4096):
+        a, b = np.searchsorted(code, [lo, lo + 4096])
+        member = np.zeros((len(x) + len(y), min(4096, len(values) - lo)), np.float32)
+        member[row[a:b], code[a:b] - lo] = 1
+        both += member[: len(x)] @ member[len(x) :].T
+    return np.nonzero(both >= least * (nx[:, None] + ny[None, :] - both) - 1e-6)
+
+
+def _ranked(members: DataFrame) -> DataFrame:
+    """h, id, n, rank: the members of a class numbered from 0; a hot class is numbered in parts."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")
+    own = members.select("h", "id", salt)
+    parts = own.groupBy("h", "salt").agg(F.count("*").alias("m"))
+    group = Window.partitionBy("h")
+    parts = parts.select("h", "salt", F.sum("m").over(group).alias("n"), (F.sum("m").over(group.orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("h", "salt").orderBy("id")) - 1
+    return own.withColumn("place", place).join(parts, ["h", "salt"]).select("h", "id", "n", (F.col("before") + F.col("place")).alias("rank"))
+
+
 def _with_copies(pairs: DataFrame, members: DataFrame, reps: DataFrame) -> DataFrame:
     """From pairs of representatives to pairs of ids."""
-    size = members.groupBy("h").agg(F.count("*").alias("n"))
-    members = members.join(size, "h").join(reps.select("h", F.col("id").alias("rep")), "h")
-    # of a large class only the representative takes part in pairs with others
-    shown = members.where((F.col("n") <= EXPAND) | (F.col("id") == F.col("rep"))).select("rep", "id")
-    across = pairs.join(shown.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(shown.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    copies = members.where("n > 1")
-    small = copies.where(F.col("n") <= EXPAND).select("h", "id")
-    within = small.select("h", F.col("id").alias("x")).join(small.select("h", F.col("id").alias("y")), "h").where("x < y").select("x", "y")
-    star = copies.where((F.col("n") > EXPAND) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
-    out = across.unionByName(within).unionByName(star)
+    ranked = materialise(_ranked(members).join(reps.select("h", F.col("id").alias("rep")), "h").drop("h"))
+    # within a class: each with those that follow it
+    copies = ranked.where("n > 1")
+    after = F.sequence(F.col("rank") + 1, F.least(F.col("n") - 1, F.col("rank") + COPIES))
+    follow = copies.where(F.col("rank") < F.col("n") - 1).select("rep", F.col("id").alias("x"), F.explode(after).alias("rank"))
+    within = follow.join(copies.select("rep", "rank", F.col("id").alias("y")), ["rep", "rank"]).select("x", "y")
+    # across: each of the larger class with up to COPIES of the smaller, dealt out in turn
+    size = ranked.where("rank = 0").select("rep", "n")
+    sized = pairs.join(size.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
+    swap = F.col("na") > F.col("nb")
+    sized = sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("few"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("rep"), F.least("na", "nb").alias("m"))
+    turn = F.pmod(F.col("rank") + F.col("t"), F.col("m"))
+    dealt = sized.join(ranked.select("rep", "rank", F.col("id").alias("x")), "rep")
+    dealt = dealt.select("few", "x", "rank", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("m"), F.lit(COPIES)) - 1)).alias("t")).select(F.col("few").alias("rep"), "x", turn.alias("rank"))
+    across = dealt.join(ranked.select("rep", "rank", F.col("id").alias("y")), ["rep", "rank"]).select("x", "y")
+    out = across.unionByName(within)
     return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -36,6 +36,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "line_docs").select("id", "title", "text"), least=0.6, width=3, least_words=10)
 
 
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """One row a record: its class of equal words, the number of near texts and its group (five words, 0.8)."""
+    return neardup.near_duplicate_groups(table(spark, sf, "line_docs").select("id", "title", "text"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode_column(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", encode.tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -57,7 +62,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentences(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_topk, p1_recall, p3_found, p7_ids, p8_mix, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_topk, p1_recall, p3_found, p3_groups, p7_ids, p8_mix, p8_shares, p9_found)}
 
 #: None of these can be said in SQL on whole tables; they are tested against plain versions.
 SQL: dict[str, str] = {}

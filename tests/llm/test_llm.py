@@ -121,7 +121,7 @@ def _jaccard_pairs(rows, least, width):
 
 
 def test_near_duplicates_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "EXPAND", 1000)
+    monkeypatch.setattr(neardup, "COPIES", 1000)
     rows = _records()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "id string, title string, text string, h string")
     got = [tuple(r) for r in neardup.near_duplicates(docs, 0.6, 3).collect()]
@@ -130,11 +130,42 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert len(set(got) & want) / len(want) >= 0.97
 
 
-def test_many_copies_are_linked_to_one(spark):
-    docs = spark.createDataFrame(_records(2, 10), "id string, title string, text string")
-    got = {tuple(r) for r in neardup.near_duplicates(docs, 0.6, 3).collect()}
-    star = {p for p in got if p[0][0] == "c"}
-    assert star == {("c000", f"c{i:03d}") for i in range(1, 100)}
+def test_copies_are_linked_in_proportion_to_their_number(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COPIES", 4)
+    text = "one and the same text of ten words for all copies that there are of it in the whole collection"
+    rows = [(f"c{i:03d}", None, text) for i in range(100)] + [(f"d{i:03d}", None, f"{text} indeed") for i in range(30)] + [("e", None, f"{text} and more")]
+    docs = spark.createDataFrame(rows, "id string, title string, text string")
+    got = [tuple(sorted(r)) for r in neardup.near_duplicates(docs, 0.6, 3).collect()]
+    assert len(got) == len(set(got))
+    kinds = lambda k: [p for p in got if p[0][0] + p[1][0] == k]
+    # each copy with the four that follow it, and with four of the copies of each other text
+    assert len(kinds("cc")) == 96 * 4 + 6 and len(kinds("dd")) == 26 * 4 + 6
+    assert len(kinds("cd")) == 100 * 4 and {x for p in kinds("cd") for x in p} == {r[0] for r in rows[:130]}
+    assert len(kinds("ce")) == 100 and len(kinds("de")) == 30
+
+
+def test_groups_of_near_duplicates(spark):
+    rows = _records(3, 40)
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "id string, title string, text string, copies string")
+    got = neardup.near_duplicate_groups(docs, 0.6, 3).collect()
+    links = _jaccard_pairs(rows, 0.6, 3)
+    found = {r["id"]: r for r in got}
+    assert len(got) == len(found) and found["c007"]["class_id"] == "c000" and found["c007"]["copies"] == 100
+    root = {i: i for i in found}
+    for a, b in sorted(links):
+        x, y = root[a], root[b]
+        root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    same = sum(found[i]["group_id"] == root[i] for i in found)
+    assert same >= 0.98 * len(found)
+    assert all(r["near_texts"] == len({found[y]["class_id"] for p in links for x, y in (p, p[::-1]) if x == r["id"]} - {r["class_id"]}) for r in got if r["group_id"] == root[r["id"]] == r["id"] and r["copies"] < 9)
+
+
+def test_alike_by_matrices():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))) for _ in range(60)]
+    i, j = neardup.alike(sets[:30], sets[30:], 0.4)
+    want = {(a, b) for a in range(30) for b in range(30) if len(set(sets[a]) & set(sets[30 + b])) >= 0.4 * len(set(sets[a]) | set(sets[30 + b]))}
+    assert set(zip(i.tolist(), j.tolist())) == want
 
 
 @pytest.mark.parametrize("bucket", [2, 20])
