@@ -52,12 +52,12 @@ def test_similar_pairs_match_brute_force(spark):
 
 
 def test_topk_recall_without_a_least_similarity(spark):
-    """Independent Gaussian vectors are the worst case for lists: most of them have to be asked."""
+    """Independent Gaussian vectors are the worst case for lists: the registered setting finds how many have to be asked."""
     rows = _vectors(3000, 2)
     docs = spark.createDataFrame([(i, v) for i, v in rows if i is None or i[0] != "h"], "id string, vector array<float>")
     from pyspark.sql import functions as F
 
-    got = {(r["id"], r["other"]) for r in similar.most_similar(docs, 5, probes=0.7, asking=F.pmod(F.xxhash64("id"), F.lit(20)) == 0).collect()}
+    got = {(r["id"], r["other"]) for r in similar.most_similar(docs, 5, asking=F.pmod(F.xxhash64("id"), F.lit(20)) == 0).collect()}
     askers = {a for a, _ in got}
     clean = [(i, v) for i, v in rows if i is not None and i[0] not in "hx"]
     ids = sorted({i for i, _ in clean})
@@ -75,6 +75,8 @@ def test_topk_recall_without_a_least_similarity(spark):
 
 def test_large_lists_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(similar, "PART_ROWS", 20)
+    monkeypatch.setattr(similar, "PIECE_ROWS", 50)
+    monkeypatch.setattr(similar, "SLICE_ROWS", 70)
     rows = _vectors(400, 3)
     docs = spark.createDataFrame(rows, "id string, vector array<float>")
     got = {tuple(r) for r in similar.similar_pairs(docs, 5, 0.9).collect()}
@@ -82,6 +84,36 @@ def test_large_lists_are_dealt_out(spark, monkeypatch):
     assert len(got & want) / len(want) >= 0.99 and not got - want
 
 
+def test_nearest_lists_some_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, c = rng.standard_normal((50, 8)).astype(np.float32), rng.standard_normal((300, 8)).astype(np.float32)
+    d = ((x[:, None] - c[None]) ** 2).sum(2)
+    for tile in (7, 64, 5000):
+        monkeypatch.setattr(similar, "LIST_TILE", tile)
+        for m in (1, 5, 300):
+            got = similar.nearest(x, c, m)
+            assert np.allclose(np.take_along_axis(d, got, 1), np.sort(d, axis=1)[:, :m], atol=1e-4)
+
+
+def test_nearly_equal_vectors_take_no_longer_than_a_product():
+    import time
+
+    rng = np.random.default_rng(5)
+    base = similar.unit(np.ones((8192, 64)) + 1e-4 * rng.standard_normal((8192, 64)))
+    began = time.time()
+    i, j, s = similar.scan(base[:2048], base, np.arange(2048), 5, 0.9, similar.rotation(64))
+    assert time.time() - began < 10 and (np.bincount(i) == 5).all()
+    true = base[:4] @ base.T
+    true[np.arange(4), np.arange(4)] = -9
+    assert np.allclose(np.sort(true, axis=1)[:, -5:].min(1), [s[i == r].min() for r in range(4)])
+
+
+def test_recall_of_the_registered_setting(spark):
+    from lodestone.llm import queries
+
+    assert queries.p1_recall(spark, "/root/testdata/sf0.1").first()["recall"] >= 0.9
+
+
 def test_similar_of_nothing(spark):
     for rows in ([], [("a", None)], [("a", [1.0] * 64)]):
         assert similar.similar_pairs(spark.createDataFrame(rows, "id string, vector array<float>"), 5, 0.9).count() == 0
