@@ -1,10 +1,18 @@
 """Mixed timestamp texts to UTC instants.
 
 Every text gets the array of all its valid interpretations (slash dates both ways round, both
-instants of a local time that occurs twice). A Viterbi pass over each source's record order
-then picks one interpretation per record: what contradicts the source's declaration costs most,
-a switch of format and a jump back in time cost a little. A record with a single interpretation
-is an anchor, so chains between anchors are decoded on their own.
+instants of a local time that occurs twice). A Viterbi pass over each source's record order then
+picks one interpretation per record. The hidden state is the order in which the source writes its
+slash dates. A reading pays for contradicting the source's declaration, for another order than the
+state's, and for a jump in time against the record order: a record stands at the time it was
+received, a reading behind that is one backward, and one long before it is less likely than one
+just before. A change of state pays as well, so dates that have one valid reading tell how those
+around them are meant.
+
+The difference of the two states' costs passes through a record as ``clip(d) + x``, and so through
+any stretch of records as one clipped shift of three numbers. Each stretch is summed up in parallel,
+the summaries (a row per ``CHUNK`` records) are chained from both sides, and every stretch is then
+decoded from exact border states: the result does not depend on how the records are partitioned.
 
 Defined results: null, empty and blank texts, texts that name no moment, dates or times of day
 that do not exist, unknown zone abbreviations, and local times of a source without a known zone
@@ -19,10 +27,11 @@ from zoneinfo import available_timezones
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.runtime import materialise
+
 # White space of Unicode, month names, zone abbreviations in minutes east of UTC.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　﻿"
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -46,7 +55,10 @@ PATTERNS = {
 
 #: Cost of an interpretation that the source's declaration or the rule for repeated times excludes.
 AGAINST_DECLARATION = 1e9
-SWITCH, BACKWARD = 1.0, 0.5
+#: Costs: of a change of order; of a reading behind its receipt and of one before it, by log(1 + days).
+SWITCH, BACKWARD, LATE = 4.0, 2.0, 0.5
+#: Records of a stretch that is summed up and decoded at a time.
+CHUNK = 100_000
 
 
 def _int(text: Column) -> Column:
@@ -61,7 +73,8 @@ def _days(year: Column, month: Column, day: Column) -> Column:
 
 
 def with_interpretations(df: DataFrame, text: str, tz: str, order: str, declared: bool = True) -> DataFrame:
-    """Add ``__cand``: array<struct<fmt int, utc_us long, cost double>> of the text's readings.
+    """Add ``__cand``: array<struct<fmt int, utc_us long, cost double>> of the text's readings, and
+    ``__open``: whether it is a slash date whose order the source does not declare.
 
     ``tz`` and ``order`` (``MDY`` or ``DMY``, null: not declared) name columns of ``df``. Without
     ``declared`` the order column carries no weight and the record order has to decide.
@@ -124,8 +137,10 @@ def with_interpretations(df: DataFrame, text: str, tz: str, order: str, declared
     def readings(days: str, fmt: Column, cost: Column) -> Column:
         local = F.col(days) * 86_400_000_000 + F.col("__tod")
         first = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), F.col(tz)))
-        again = first + 3_600_000_000
-        twice = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(again), F.col(tz))) == local
+        # if clocks go back soon after, by whatever amount, the same local time may come again
+        soon = first + 3 * 3_600_000_000
+        again = local - (F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(soon), F.col(tz))) - soon)
+        twice = F.when(again > first, F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(again), F.col(tz))) == local).otherwise(False)
         read = lambda us, more: F.struct(fmt.cast("int").alias("fmt"), us.alias("utc_us"), (cost + more).cast("double").alias("cost"))
         later = AGAINST_DECLARATION if declared else 0.25
         return (
@@ -147,96 +162,138 @@ def with_interpretations(df: DataFrame, text: str, tz: str, order: str, declared
     # A reading the declaration excludes is no reading if nothing else is left: such a date does not exist.
     df = df.withColumn("__cand", F.coalesce(cand, none))
     kept = F.when(F.exists("__cand", lambda c: c["cost"] < AGAINST_DECLARATION), F.col("__cand")).otherwise(none)
-    return df.withColumn("__cand", kept).drop("__t", "__k", "__s", "__p", "__tod", "__off", "__zoned", "__d1", "__d2")
+    undeclared = F.lit(True) if not declared else ~F.coalesce(o.isin("MDY", "DMY"), F.lit(False))
+    return df.withColumn("__cand", kept).withColumn("__open", F.coalesce((k == SLASH) & undeclared, F.lit(False))).drop("__t", "__k", "__s", "__p", "__tod", "__off", "__zoned", "__d1", "__d2")
 
 
-def decode(start: np.ndarray, fmt: np.ndarray, us: np.ndarray, cost: np.ndarray, seq: np.ndarray) -> np.ndarray:
-    """Viterbi: the chosen candidate's position for every record that has any, else -1.
+class Stretch:
+    """The records of a table in order: what each state makes of them."""
 
-    ``start`` has the offsets of each record's candidates, ``seq`` the record's sequence. Records
-    without candidates are skipped, records with one are fixed, the rest is decoded in between.
-    """
-    n = len(start) - 1
-    size = np.diff(start)
-    chosen = np.where(size > 0, start[:-1], -1)
-    open_ = np.flatnonzero(size > 1)
-    if not len(open_):
-        return chosen
-    live = np.flatnonzero(size > 0)
-    rank = np.full(n, -1)
-    rank[live] = np.arange(len(live))
-    done = -1
-    for i in open_:
-        if i <= done:
-            continue
-        # the run of open records of one sequence, in the order of live records
-        r = rank[i]
-        run = [i]
-        while r + 1 < len(live) and size[live[r + 1]] > 1 and seq[live[r + 1]] == seq[i]:
-            r += 1
-            run.append(live[r])
-        done = run[-1]
-        before = live[rank[i] - 1] if rank[i] > 0 and seq[live[rank[i] - 1]] == seq[i] else -1
-        after = live[r + 1] if r + 1 < len(live) and seq[live[r + 1]] == seq[i] else -1
-        states = [(start[before], 0.0)] if before >= 0 else []
-        back: list[dict[int, int]] = []
-        for j in run + ([after] if after >= 0 else []):
-            new, link = [], {}
-            for c in range(start[j], start[j + 1]):
-                best, where = 0.0, -1
-                if states:
-                    best, where = min((v + SWITCH * (fmt[q] != fmt[c]) + BACKWARD * (us[c] < us[q]), q) for q, v in states)
-                new.append((c, best + cost[c]))
-                link[c] = where
-            states = new
-            back.append(link)
-        c = min(states, key=lambda x: (x[1], x[0]))[0]
-        for j, link in zip(reversed(run + ([after] if after >= 0 else [])), reversed(back)):
-            chosen[j] = c
-            c = link[c]
-    return chosen
-
-
-#: A chain of open records longer than this is decoded without looking further ahead.
-LOOKAHEAD_ROWS = 200_000
-
-
-def _viterbi(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Decode a sorted stream; the last anchor stays to begin the next batch's first chain."""
-    held: pa.Table | None = None
-    skip = 0
-
-    def run(table: pa.Table, skip: int) -> list[pa.RecordBatch]:
-        table = table.combine_chunks()
-        cand = table.column("__cand").chunk(0)
-        start = cand.offsets.to_numpy().astype(np.int64)
-        start -= start[0]
+    def __init__(self, table: pa.Table):
+        cand = table.column("__cand").combine_chunks()
+        cand = cand.chunk(0) if isinstance(cand, pa.ChunkedArray) else cand
+        self.start = cand.offsets.to_numpy().astype(np.int64)
+        self.start -= self.start[0]
         flat = cand.flatten()
-        fmt, us, cost = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("fmt", "utc_us", "cost"))
-        chosen = decode(start, fmt, us, cost, table.column("__seq").to_numpy())
-        chosen[:skip] = -1
-        rows = np.flatnonzero(chosen >= 0)
-        out = table.select(["table_name", "row_key", "field_name"]).take(pa.array(rows))
-        out = out.append_column("fmt", pa.array(fmt[chosen[rows]], pa.int32())).append_column("utc_us", pa.array(us[chosen[rows]], pa.int64()))
-        return out.combine_chunks().to_batches()
-
+        self.fmt, self.us, cost = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("fmt", "utc_us", "cost"))
+        self.seq = table.column("__seq").to_numpy()
+        size = np.diff(self.start)
+        self.live = np.flatnonzero(size > 0)
+        received = table.column("received_us").to_numpy(zero_copy_only=False).astype(float)
+        with np.errstate(invalid="ignore"):
+            ahead = (self.us - np.repeat(received, size)) / 86_400e6
+        jump = np.where(ahead > 0, BACKWARD, LATE) * np.log1p(np.abs(np.nan_to_num(ahead)))
+        jump[self.fmt % 100 != SLASH] = 0.0
+        base = cost + jump
+        # the best reading and its cost under each state (0: month first, 1: day first)
+        self.best, self.cost = [], []
+        first = self.start[:-1][self.live]
+        for other in (SLASH + 100, SLASH):
+            c = base + SWITCH * (self.fmt == other)
+            low = np.minimum.reduceat(c, first) if len(first) else np.zeros(0)
+            at = np.flatnonzero(c == np.repeat(low, size[self.live]))
+            owner = np.repeat(np.arange(len(self.live)), size[self.live])[at]
+            self.best.append(at[np.searchsorted(owner, np.arange(len(self.live)))])
+            self.cost.append(low)
+        x = self.cost[0] - self.cost[1] if len(self.live) else np.zeros(0)
+        open_ = table.column("__open").to_numpy(zero_copy_only=False)[self.live]
+        self.telling = np.flatnonzero(open_)
+        self.x = x[self.telling]
+
+    def runs(self) -> Iterator[tuple[int, int, int]]:
+        """(sequence, from, to) of the telling records of each sequence."""
+        seq = self.seq[self.live[self.telling]]
+        cuts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1], True]) if len(seq) else []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield int(seq[a]), a, b
+
+    def summary(self, a: int, b: int) -> tuple[float, ...]:
+        """Shift and bounds of the difference of costs from left to right and from right to left."""
+        c, low, high = 0.0, -np.inf, np.inf
+        back, least, most = 0.0, -np.inf, np.inf
+        for x in self.x[a:b].tolist():
+            c, low, high = c + x, min(max(low, -SWITCH), SWITCH) + x, min(max(high, -SWITCH), SWITCH) + x
+            least, most = min(max(back - SWITCH, least), most), min(max(back + SWITCH, least), most)
+            back += x
+        return c, low, high, back, least, most
+
+    def states(self, a: int, b: int, before: float, after: float) -> np.ndarray:
+        """The state of each telling record, given the difference of costs on both sides."""
+        x = self.x[a:b].tolist()
+        left, right = np.zeros(b - a), np.zeros(b - a)
+        d = before
+        for i, v in enumerate(x):
+            d = min(max(d, -SWITCH), SWITCH) + v
+            left[i] = d
+        d = after
+        for i in range(b - a - 1, -1, -1):
+            right[i] = d
+            d = min(max(d + x[i], -SWITCH), SWITCH)
+        return (left + right > 0).astype(int)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A task's records in tables of ``CHUNK``; where they are cut depends on the files only."""
+    held, rows = [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, table]) if held is not None else table
-        anchors = np.flatnonzero(pc.list_value_length(table.column("__cand")).to_numpy() == 1)
-        cut = int(anchors[-1]) + 1 if len(anchors) else 0
-        if table.num_rows - cut > LOOKAHEAD_ROWS:
-            yield from run(table, skip)
-            held, skip = None, 0
-        elif cut > skip:
-            yield from run(table.slice(0, cut), skip)
-            held, skip = table.slice(cut - 1), 1
-        else:
-            held = table
-    if held is not None and held.num_rows > skip:
-        yield from run(held, skip)
+        while batch.num_rows:
+            part = batch.slice(0, CHUNK - rows)
+            held.append(part)
+            rows += part.num_rows
+            batch = batch.slice(part.num_rows)
+            if rows == CHUNK:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+SUMMARY = "seq long, pos long, c double, low double, high double, back double, least double, most double"
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in SUMMARY.split(", ")]
+    for table in _stretches(batches):
+        part, pos = Stretch(table), int(table.column("pos")[0].as_py())
+        rows = [(seq, pos, *part.summary(a, b)) for seq, a, b in part.runs()]
+        if rows:
+            kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+def chain(summaries: list) -> dict[tuple[int, int], tuple[float, float]]:
+    """(sequence, stretch): the difference of costs before and after it."""
+    out: dict[tuple[int, int], list[float]] = {}
+    order = sorted(summaries, key=lambda r: (r["seq"], r["pos"]))
+    for rows, side in ((order, 0), (order[::-1], 1)):
+        seq, d = None, 0.0
+        for r in rows:
+            if r["seq"] != seq:
+                seq, d = r["seq"], 0.0
+            out.setdefault((seq, r["pos"]), [0.0, 0.0])[side] = d
+            c, low, high = (r["c"], r["low"], r["high"]) if not side else (r["back"], r["least"], r["most"])
+            d = min(max(d + c, low), high)
+    return {k: (a, b) for k, (a, b) in out.items()}
+
+
+def _decode(borders):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = borders.value
+        for table in _stretches(batches):
+            part, pos = Stretch(table), int(table.column("pos")[0].as_py())
+            if not len(part.live):
+                continue
+            # where the order is declared or nothing is open, both states read the same
+            chosen = part.best[0].copy()
+            for seq, a, b in part.runs():
+                state = part.states(a, b, *known.get((seq, pos), (0.0, 0.0)))
+                at = part.telling[a:b]
+                chosen[at] = np.where(state == 1, part.best[1][at], part.best[0][at])
+            out = table.select(["table_name", "row_key", "field_name"]).take(pa.array(part.live))
+            out = out.append_column("fmt", pa.array(part.fmt[chosen], pa.int32())).append_column("utc_us", pa.array(part.us[chosen], pa.int64()))
+            yield from out.combine_chunks().to_batches()
+
+    return work
 
 
 def known_zones(feeds: DataFrame) -> DataFrame:
@@ -255,13 +312,20 @@ def resolve_instants(texts: DataFrame, feeds: DataFrame, declared: bool = True)
 
     ``texts``: table_name, row_key, field_name, feed_id, received_at, text; one row a text. The
     records of a source (table, field, feed) are decoded in the order received. A range
-    partitioning cuts hot sources into as many tasks as they need; a chain starts anew there.
+    partitioning cuts hot sources into as many tasks as they need, and border states go from one
+    to the next.
     """
     zones = known_zones(feeds)
     ordered = texts.where(F.length("text") > 0).repartitionByRange("table_name", "field_name", "feed_id", "received_at", "row_key")
     ordered = ordered.sortWithinPartitions("table_name", "field_name", "feed_id", "received_at", "row_key")
     # the feeds are a table of sources, a row each; Spark broadcasts it if it is small and sorts it otherwise
-    read = with_interpretations(ordered.join(zones, "feed_id", "left"), "text", "tz_name", "slash_order", declared)
+    read = with_interpretations(ordered.join(F.broadcast(zones), "feed_id", "left"), "text", "tz_name", "slash_order", declared)
     seq = F.xxhash64("table_name", "field_name", "feed_id").alias("__seq")
+    received = F.unix_micros(F.col("received_at").cast("timestamp")).alias("received_us")
     # no filter here: pushed down, it would bring a copy of all the expressions above with it
-    return read.select("table_name", "row_key", "field_name", seq, "__cand").mapInArrow(_viterbi, "table_name string, row_key string, field_name string, fmt int, utc_us long")
+    read = materialise(read.select("table_name", "row_key", "field_name", seq, received, "__cand", "__open", F.monotonically_increasing_id().alias("pos")))
+    spark = texts.sparkSession
+    borders: dict = {}
+    if read.where("__open").limit(1).count():
+        borders = chain(read.select("__seq", "received_us", "__cand", "__open", "pos").mapInArrow(_summaries, SUMMARY).collect())
+    return read.mapInArrow(_decode(spark.sparkContext.broadcast(borders)), "table_name string, row_key string, field_name string, fmt int, utc_us long")

@@ -45,6 +45,73 @@ def test_record_order_decides_without_declaration(spark):
     assert {int(r["row_key"]): r["utc_us"] for r in got} == want
 
 
+def _walk(rng, n, order):
+    """A source's texts in record order: slash dates of one order among others, some late, and what they mean."""
+    rows, at = [], dt.datetime(2015, 1, 1)
+    for _ in range(n):
+        at += dt.timedelta(hours=rng.uniform(1, 60))
+        when = at.replace(microsecond=0) - (dt.timedelta(days=rng.uniform(20, 300)) if rng.random() < 0.3 else dt.timedelta(minutes=rng.uniform(0, 90)))
+        when = when.replace(microsecond=0, second=0)
+        form = rng.choice(["%d/%m/%Y %H:%M" if order == "DMY" else "%m/%d/%Y %H:%M", "%Y-%m-%d %H:%M:%S"])
+        rows.append((at, when.strftime(form), int(when.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)))
+    return rows
+
+
+@pytest.mark.parametrize("order", ["DMY", "MDY"])
+def test_record_order_finds_an_undeclared_order(spark, order, monkeypatch):
+    rows = _walk(random.Random(3), 400, order)
+    texts = spark.createDataFrame([("t", str(i), "f", "E", at, text) for i, (at, text, _) in enumerate(rows)], "table_name string, row_key string, field_name string, feed_id string, received_at timestamp_ntz, text string")
+    got = {int(r["row_key"]): r["utc_us"] for r in instants.resolve_instants(texts, _feeds(spark)).collect()}
+    assert len(got) == len(rows) and sum(got[i] == r[2] for i, r in enumerate(rows)) >= 0.99 * len(rows)
+    # the chain bears weight: without it the single records decide, and worse
+    read = instants.with_interpretations(texts.join(_feeds(spark), "feed_id"), "text", "tz_name", "slash_order").orderBy("received_at")
+    table = read.selectExpr("row_key", "cast(1 as long) as __seq", "unix_micros(cast(received_at as timestamp)) as received_us", "__cand", "__open").toArrow()
+
+    def right(switch):
+        monkeypatch.setattr(instants, "SWITCH", switch)
+        part = instants.Stretch(table)
+        ((_, a, b),) = part.runs()
+        state = part.states(a, b, 0.0, 0.0)
+        chosen = part.best[0].copy()
+        chosen[part.telling] = np.where(state == 1, part.best[1][part.telling], part.best[0][part.telling])
+        keys = table.column("row_key").to_pylist()
+        return sum(part.us[c] == rows[int(keys[i])][2] for c, i in zip(chosen, part.live))
+
+    assert right(0.0) < right(4.0)
+
+
+def test_partitions_do_not_change_the_decoding():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    part = instants.Stretch.__new__(instants.Stretch)
+    part.x = rng.normal(0, 3, 500)
+    whole = part.states(0, 500, 0.0, 0.0)
+    # by brute force: the path of least cost, of which x is the difference at each record
+    cost = np.stack([part.x, np.zeros(500)], 1)
+    best, back = cost[0].copy(), []
+    for t in range(1, 500):
+        step = np.array([[best[p] + instants.SWITCH * (p != s) for p in (0, 1)] for s in (0, 1)])
+        back.append(step.argmin(1))
+        best = step.min(1) + cost[t]
+    path = [int(best.argmin())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    assert (whole == np.array(path[::-1])).all()
+    for cuts in ([0, 1, 2, 250, 500], [0, 77, 78, 499, 500], list(range(0, 501, 4))):
+        rows = [{"seq": 1, "pos": a, **dict(zip(("c", "low", "high", "back", "least", "most"), part.summary(a, b)))} for a, b in zip(cuts, cuts[1:])]
+        borders = instants.chain(rows)
+        pieces = [part.states(a, b, *borders[1, a]) for a, b in zip(cuts, cuts[1:])]
+        assert (np.concatenate(pieces) == whole).all()
+
+
+def test_a_repeated_half_hour(spark):
+    feeds = spark.createDataFrame([("L", "Australia/Lord_Howe", "DMY")], "feed_id string, tz_name string, slash_order string")
+    # clocks went back by 30 minutes at 02:00 on 5 April 2015
+    got = [r["utc_us"] for r in instants.resolve_instants(_texts(spark, [("L", "2015-04-05 01:45:00")]), feeds).collect()]
+    assert got == [int(dt.datetime(2015, 4, 4, 14, 45, tzinfo=dt.timezone.utc).timestamp() * 1_000_000)]
+
+
 def test_instants_of_nothing(spark):
     assert instants.resolve_instants(_texts(spark, [("A", "x")]).limit(0), _feeds(spark)).count() == 0
     assert instants.resolve_instants(_texts(spark, [("A", "2016-01-01 00:00:00")]), _feeds(spark).limit(0)).count() == 0
