@@ -20,6 +20,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.runtime import materialise
+
 SCHEMA_NUMBER = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL")
 
 
@@ -69,6 +71,12 @@ def catalogue(raw: DataFrame) -> DataFrame:
     return sums.withColumn("file_no", F.dense_rank().over(order)).drop("file_seq")
 
 
+def _read(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The catalogue and the log of changes, each worked out once and kept: rows by file and field, not by record."""
+    cat = materialise(catalogue(raw))
+    return cat, materialise(_log(cat))
+
+
 def _fields(cat: DataFrame) -> DataFrame:
     return cat.where("field_name is not null").groupBy("suite_id", "file_id", "file_no", "field_name").agg(F.array_sort(F.collect_set("json_type")).alias("types"))
 
@@ -83,7 +91,6 @@ def spans(cat: DataFrame) -> DataFrame:
     """Islands of successive files, by suite, field and type set: first_no, last_no."""
     w = Window.partitionBy("suite_id", "field_name").orderBy("file_no")
     begins = F.coalesce((F.lag("file_no").over(w) != F.col("file_no") - 1) | (F.lag("types").over(w) != F.col("types")), F.lit(True))
-    island = F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return (
         _fields(cat).withColumn("begins", begins).withColumn("island", F.sum(F.col("begins").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("suite_id", "field_name", "island").agg(F.min("file_no").alias("first_no"), F.max("file_no").alias("last_no"), F.first("types").alias("types"))
@@ -93,7 +100,7 @@ def spans(cat: DataFrame) -> DataFrame:
 
 def lifespans(raw: DataFrame) -> DataFrame:
     """The catalogue of lifespans with the files in which each begins and ends."""
-    cat = catalogue(raw)
+    cat = materialise(catalogue(raw))
     files = _files(cat)
     first = files.select("suite_id", F.col("file_no").alias("first_no"), F.col("file_id").alias("first_file"))
     last = files.select("suite_id", F.col("file_no").alias("last_no"), F.col("file_id").alias("last_file"))
@@ -101,9 +108,8 @@ def lifespans(raw: DataFrame) -> DataFrame:
     return out.select("suite_id", "field_name", F.array_join("types", "|").alias("json_types"), "first_file", "last_file", (F.col("last_no") - F.col("first_no") + 1).alias("files"))
 
 
-def _log(raw: DataFrame) -> DataFrame:
+def _log(cat: DataFrame) -> DataFrame:
     """Beginnings and endings of lifespans: (suite_id, file_no, field_name, what) with what in added, removed, retyped."""
-    cat = catalogue(raw)
     w = Window.partitionBy("suite_id", "field_name").orderBy("first_no")
     s = spans(cat)
     s = s.withColumn("came", F.lag("last_no").over(w)).withColumn("came_types", F.lag("types").over(w)).withColumn("goes", F.lead("first_no").over(w))
@@ -140,8 +146,8 @@ def _renames(raw: DataFrame, log: DataFrame) -> DataFrame:
 
 def changes(raw: DataFrame) -> DataFrame:
     """(file_id, field_name, change_kind): added, removed, renamed (under the new name), retyped."""
-    log = _log(raw)
-    renamed = _renames(raw, log)
+    _, log = _read(raw)
+    renamed = materialise(_renames(raw, log))
     gone = renamed.select("file_id", F.col("lost").alias("field_name"), F.lit("removed").alias("what"))
     come = renamed.select("file_id", F.col("new").alias("field_name"), F.lit("added").alias("what"))
     rest = log.select("file_id", "field_name", "what").join(gone.unionByName(come).distinct(), ["file_id", "field_name", "what"], "left_anti")
@@ -193,19 +199,28 @@ def aliases(raw: DataFrame) -> list[dict]:
     numbers is double only if every value of all its rows says a number; ``units`` tells that ms may
     follow it, ``raw`` that some value is written otherwise than as a JSON number.
     """
-    cat = catalogue(raw)
+    cat, log = _read(raw)
     named = cat.where("field_name is not null").groupBy("field_name").agg(
         F.max("file_no").alias("newest"), F.sum("n").alias("n"), F.array_sort(F.collect_set("json_type")).alias("types"))
     names = {r["field_name"]: r for r in named.limit(MAX_NAMES + 1).collect()}
     if len(names) > MAX_NAMES:
         raise ValueError(f"more than {MAX_NAMES} field names")
     casts = {r["field_name"]: r for r in _casts(raw).collect()}
-    log = _log(raw)
     edges = _renames(raw, log).groupBy("lost", "new").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "lost", "new").collect()
-    ends = sorted({x for e in edges for x in (e["lost"], e["new"])})
-    fields = cat.where(F.col("field_name").isin(ends)).select("file_id", "field_name").distinct() if ends else None
-    apart = {frozenset((r["a"], r["b"])) for r in fields.groupBy("file_id").agg(F.array_sort(F.collect_set("field_name")).alias("f"))
-             .select(F.explode("f").alias("a"), "f").select("a", F.explode("f").alias("b")).where("a < b").distinct().collect()} if ends else set()
+    # which names of one family of aliases ever stand in one file together; families are small
+    family: dict[str, str] = {}
+
+    def head(x: str) -> str:
+        while family.setdefault(x, x) != x:
+            x = family[x]
+        return x
+
+    for e in edges:
+        family[head(e["new"])] = head(e["lost"])
+    kin = raw.sparkSession.createDataFrame([(x, head(x)) for x in sorted(family)], "field_name string, family string")
+    met = cat.select("file_id", "field_name").distinct().join(kin, "field_name").groupBy("file_id", "family").agg(F.array_sort(F.collect_set("field_name")).alias("f"))
+    met = met.where(F.size("f") > 1).select("f").distinct().select(F.explode("f").alias("a"), "f").select("a", F.explode("f").alias("b")).where("a < b").distinct()
+    apart = {frozenset((r["a"], r["b"])) for r in met.collect()}
     group = {n: {n} for n in names}
     for e in edges:
         a, b = group[e["lost"]], group[e["new"]]

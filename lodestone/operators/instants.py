@@ -316,10 +316,10 @@ def resolve_instants(texts: DataFrame, feeds: DataFrame, declared: bool = True)
     to the next.
     """
     zones = known_zones(feeds)
-    ordered = texts.where(F.length("text") > 0).repartitionByRange("table_name", "field_name", "feed_id", "received_at", "row_key")
+    known = texts.where(F.length("text") > 0).join(zones, "feed_id", "left")
+    ordered = known.repartitionByRange("table_name", "field_name", "feed_id", "received_at", "row_key")
     ordered = ordered.sortWithinPartitions("table_name", "field_name", "feed_id", "received_at", "row_key")
-    # the feeds are a table of sources, a row each; Spark broadcasts it if it is small and sorts it otherwise
-    read = with_interpretations(ordered.join(F.broadcast(zones), "feed_id", "left"), "text", "tz_name", "slash_order", declared)
+    read = with_interpretations(ordered, "text", "tz_name", "slash_order", declared)
     seq = F.xxhash64("table_name", "field_name", "feed_id").alias("__seq")
     received = F.unix_micros(F.col("received_at").cast("timestamp")).alias("received_us")
     # no filter here: pushed down, it would bring a copy of all the expressions above with it
