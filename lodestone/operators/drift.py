@@ -137,6 +137,7 @@ def _renames(raw: DataFrame, log: DataFrame) -> DataFrame:
     told = told.select("a.at", "a.is_new", "a.field_name", "run_key", json_type(v).alias("t"), by_value(v).alias("val")).where("t is not null")
     # several records of one run in a file agree or not among themselves; one row a run and value
     told = told.groupBy("at", "is_new", "field_name", "run_key").agg(F.count_distinct("t", "val").alias("versions"), F.first(F.struct("t", "val")).alias("is"))
+    told = materialise(told)  # both sides start from it; the payloads are parsed once for it
     lost = told.where("not is_new").select("at", "run_key", F.col("field_name").alias("lost"), F.col("versions").alias("v1"), F.col("is").alias("x"))
     new = told.where("is_new").select("at", "run_key", F.col("field_name").alias("new"), F.col("versions").alias("v2"), F.col("is").alias("y"))
     same = (F.col("x") == F.col("y")) & (F.col("v1") == 1) & (F.col("v2") == 1)
