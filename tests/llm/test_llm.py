@@ -396,3 +396,13 @@ def test_sentences_take_linear_time(unit):
         return best
 
     assert took(16_000) < 8 * took(4_000)
+
+
+def test_blocks_and_shards_are_of_like_size(spark):
+    rng = random.Random(2)
+    docs = [(i, rng.choice(["big"] * 8 + ["small"]), " ".join(["word"] * rng.randint(20, 60))) for i in range(4000)]
+    targets = spark.createDataFrame([("m", "big", 0.5, 1), ("m", "small", 0.5, 2)], "mix_id string, source string, target_share double, max_repeats int")
+    chosen, _ = mixing.mix(spark.createDataFrame(docs, "doc_id long, source string, text string"), targets, PATH)
+    sizes = [r["t"] for r in chosen.groupBy("shard").agg({"tokens": "sum"}).toDF("shard", "t").collect()]
+    assert len(sizes) == mixing.LEAST_SHARDS and max(sizes) < 1.2 * min(sizes)
+    assert mixing.packed([{"source": "s", "cell": i, "tokens": 10 - i} for i in range(6)], {"s": 3}).keys() == {("s", i) for i in range(6)}
