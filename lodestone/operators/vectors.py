@@ -209,20 +209,26 @@ def overlap(a: DataFrame, b: DataFrame, vector: str) -> DataFrame:
     return both.agg(F.coalesce(F.sum(F.when(F.col("nb").isNotNull(), F.col("na"))), F.lit(0)).alias("shared"), more("na").alias("repeats_a"), more("nb").alias("repeats_b"))
 
 
-def hadamard(docs: DataFrame, key: str, vector: str, dim: int, inverse: bool = False) -> DataFrame:
-    """Seeded block rotation: sign flips, a permutation and a fast Walsh-Hadamard transform, or its inverse."""
-    block = dim & -dim
-    rng = np.random.default_rng(dim)
+def hadamard(docs: DataFrame, key: str, vector: str, dim: int, inverse: bool = False, seed: int = 0) -> DataFrame:
+    """Seeded block rotation: sign flips, a permutation and fast Walsh-Hadamard transforms, or its inverse.
+
+    The blocks are the powers of two that the dimension is the sum of; vectors of another length become null.
+    """
+    rng = np.random.default_rng([dim, seed])
     sign, order = rng.choice([-1.0, 1.0], dim), rng.permutation(dim)
+    blocks = [1 << i for i in reversed(range(dim.bit_length())) if dim >> i & 1]
 
     def transform(x: np.ndarray) -> np.ndarray:
-        y = x.reshape(-1, block).copy()
-        h = 1
-        while h < block:
-            y = y.reshape(-1, block // (2 * h), 2, h)
-            y = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(-1, block)
-            h *= 2
-        return y.reshape(-1, dim) / np.sqrt(block)
+        out, at = np.empty_like(x), 0
+        for block in blocks:
+            y, h = x[:, at : at + block], 1
+            while h < block:
+                y = y.reshape(-1, block // (2 * h), 2, h)
+                y = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(-1, block)
+                h *= 2
+            out[:, at : at + block] = y / np.sqrt(block)
+            at += block
+        return out
 
     def turn(x: np.ndarray) -> np.ndarray:
         if not inverse:
@@ -233,24 +239,60 @@ def hadamard(docs: DataFrame, key: str, vector: str, dim: int, inverse: bool = F
 
     @F.pandas_udf("array<double>")
     def rotate(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None or len(x) != dim else turn(np.asarray(x, np.float64).reshape(1, -1))[0])
+        fits = v.map(lambda x: x is not None and len(x) == dim).to_numpy(bool)
+        out: list = [None] * len(v)
+        if fits.any():
+            for i, row in zip(np.flatnonzero(fits), turn(np.stack(v[fits].to_list()).astype(np.float64))):
+                out[i] = row
+        return pd.Series(out, dtype=object)
 
     return docs.select(key, rotate(F.col(vector)).alias(vector))
 
 
-def intrinsic_dimension(docs: DataFrame, vector: str, key: str, sample: int = 2000, k: int = 10) -> DataFrame:
-    """(method, dimension) by two nearest neighbours and by maximum likelihood, on a bounded sample by key hash."""
-    rows = docs.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key)).select(vector).limit(sample).toArrow()
-    x = np.array(rows.column(0).to_pylist(), dtype=np.float64)
-    d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T)) if len(x) > k else np.zeros((0, 0))
+def intrinsic_dimension(docs: DataFrame, queries: DataFrame, vector: str, key: str, k: int = 10, tail: float = 0.1) -> DataFrame:
+    """(method, dimension) by two nearest neighbours and by maximum likelihood.
+
+    The neighbours of a stated query set (query_id, vector) are searched among all vectors. Equal
+    vectors are no neighbours; the two-neighbour estimate leaves out the ``tail`` largest ratios.
+    """
+    near = knn(docs, queries, k + 1, "euclidean", key, vector).where(F.col("query_id") != F.col(key))
+    near = near.select("query_id", F.sqrt(1 / F.col("score") - 1).alias("d")).where("d > 1e-6")
+    w = Window.partitionBy("query_id").orderBy("d")
+    near = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).withColumn("far", F.max("d").over(Window.partitionBy("query_id"))).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    each = near.groupBy("query_id").agg(F.max(F.when(F.col("r") == 2, F.col("d"))).alias("d2"), F.max(F.when(F.col("r") == 1, F.col("d"))).alias("d1"), F.sum(F.log(F.col("far") / F.col("d"))).alias("s"), F.max("n").alias("n"))
+    each = each.where("n > 2").select(F.log(F.col("d2") / F.col("d1")).alias("ratio"), (F.col("s") / (F.col("n") - 2)).alias("inverse"))
+    ranked = each.withColumn("p", F.row_number().over(Window.orderBy("ratio"))).withColumn("all", F.count("*").over(Window.partitionBy()))
+    kept = ranked.agg(F.sum(F.when(F.col("p") <= F.floor(F.col("all") * (1 - tail)), F.col("ratio"))).alias("s"), F.sum(F.when(F.col("p") <= F.floor(F.col("all") * (1 - tail)), 1)).alias("m"), F.max(F.when(F.col("p") == F.floor(F.col("all") * (1 - tail)), F.col("ratio"))).alias("last"), F.max("all").alias("all"), F.avg("inverse").alias("inverse"))
+    # the ratios left out are at least as large as the last one kept
+    two = F.col("m") / (F.col("s") + (F.col("all") - F.col("m")) * F.col("last"))
+    return kept.select(F.explode(F.array(F.struct(F.lit("two_nn").alias("method"), two.alias("dimension")), F.struct(F.lit("mle").alias("method"), (1 / F.col("inverse")).alias("dimension")))).alias("x")).select("x.*").where("dimension is not null")
+
+
+def principal_dimension(docs: DataFrame, vector: str, dim: int, share: float = 0.95) -> DataFrame:
+    """(method, dimension): the principal components that hold ``share`` of the variance, from sums over all rows."""
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((dim + 1, dim + 1)), 0
+        for batch in batches:
+            v = batch.column(0)
+            v = v.filter(pa.compute.equal(pa.compute.list_value_length(v), dim).fill_null(False))
+            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            x = np.c_[x[np.isfinite(x).all(1)], np.ones(int(np.isfinite(x).all(1).sum()))]
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["i", "s"])
+
+    # (dim + 1) squared sums, whatever the rows
+    sums = docs.select(vector).mapInArrow(moments, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+    total = np.zeros((dim + 1) * (dim + 1))
+    for r in sums:
+        total[r["i"]] = r["s"]
+    total = total.reshape(dim + 1, dim + 1)
+    n = total[-1, -1]
     out = []
-    if len(d):
-        np.fill_diagonal(d, np.inf)
-        near = np.sort(d, axis=1)[:, :k]
-        near = near[near[:, 0] > 1e-9]
-        ratio = near[:, 1] / near[:, 0]
-        out.append(("two_nn", float(len(ratio) / np.log(ratio[ratio > 1]).sum())))
-        out.append(("mle", float(1 / np.mean(np.log(near[:, -1:] / near[:, :-1]).sum(1) / (k - 2)))))
+    if n > 1:
+        mean = total[-1, :-1] / n
+        values = np.maximum(0.0, np.linalg.eigvalsh(total[:-1, :-1] / n - np.outer(mean, mean))[::-1])
+        out = [("pca", float(np.searchsorted(np.cumsum(values), share * values.sum() * (1 - 1e-12)) + 1))]
     return docs.sparkSession.createDataFrame(out, "method string, dimension double")
 
 
@@ -285,11 +327,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return now
 
 
-def sampled_distances(docs: DataFrame, vector: str, key: str, sample: int = 1000) -> DataFrame:
-    """(bucket, pairs): histogram of dot products over all pairs of a bounded sample by key hash, in steps of 0.05."""
-    rows = docs.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key), key).select(key, vector).limit(sample)
-    queries = rows.select(F.col(key).alias("query_id"), vector)
-    pairs = knn(rows, queries, 0, "dot", key, vector, "query_id", least=float("-inf")).where(F.col("query_id") < F.col(key))
+def sampled_distances(docs: DataFrame, queries: DataFrame, vector: str, key: str) -> DataFrame:
+    """(bucket, pairs): histogram of dot products of a stated query set with all vectors, in steps of 0.05."""
+    pairs = knn(docs, queries, 0, "dot", key, vector, "query_id", least=float("-inf")).where(F.col("query_id") != F.col(key))
     return pairs.groupBy(F.round(F.floor((F.col("score") * 2 - 1) / 0.05) * 0.05, 2).alias("bucket")).agg(F.count("*").alias("pairs"))
 
 

@@ -19,12 +19,12 @@ def group_partition(spark, sf):
     return prep.first_groups(table(spark, sf, "documents").select("doc_id", "username"), "username", 20).select("doc_id", "part")
 
 
-@query()
+@query("SELECT doc_id, username FROM documents")
 def group_shuffle(spark, sf):
     return prep.shuffle_groups(table(spark, sf, "documents").select("doc_id", "username"), "username", ["doc_id"])
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents")
 def row_shuffle(spark, sf):
     return prep.shuffle_rows(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
 
@@ -146,7 +146,7 @@ def repeated_source(spark, sf):
     return prep.repeat(table(spark, sf, "documents").select("doc_id"), 3)
 
 
-@query()
+@query(f"SELECT doc_id FROM documents WHERE NOT substr(md5(CAST(doc_id AS VARCHAR) || ':1'), 1, 8) < '{int(5 / 100 * (1 << 32)):08x}'")
 def delete_random_5pct(spark, sf):
     return prep.delete_share(table(spark, sf, "documents").select("doc_id"), "doc_id", 5)
 

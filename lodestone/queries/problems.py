@@ -65,4 +65,29 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_lifespans, p2_table, p4_found, p5_found, p6_found, p6_inferred_order)}
 
-SQL: dict[str, str] = {}
+_TRIPS = "t AS (SELECT trip_id, any_value(meter_id) AS m, any_value(trip_seq) AS s, any_value(trip_distance) AS d, any_value(passenger_count) AS p, any_value(pickup_latitude) AS l FROM taxi_trips WHERE trip_id IS NOT NULL GROUP BY trip_id)"
+P4 = f"""
+WITH {_TRIPS}, u AS (
+  SELECT trip_id, m, s, 'trip_distance' AS f, CAST(d AS DOUBLE) AS v, 0.05 AS floor_, 0.0 AS low, CAST('Infinity' AS DOUBLE) AS high, true AS runs FROM t
+  UNION ALL SELECT trip_id, m, s, 'passenger_count', CAST(p AS DOUBLE), 0.4, 0.0, CAST('Infinity' AS DOUBLE), false FROM t
+  UNION ALL SELECT trip_id, m, s, 'pickup_latitude', CAST(l AS DOUBLE), 0.002, -90.0, 90.0, true FROM t),
+c AS (SELECT m, f, median(v) AS med FROM u WHERE m IS NOT NULL AND isfinite(v) GROUP BY m, f),
+g AS (SELECT u.m, u.f, any_value(c.med) AS med, median(abs(u.v - c.med)) AS mad FROM u JOIN c ON u.m = c.m AND u.f = c.f WHERE isfinite(u.v) GROUP BY u.m, u.f),
+o AS (SELECT *, isfinite(v) AS ok, row_number() OVER w AS n, lag(v) OVER w AS before FROM u WHERE runs AND m IS NOT NULL AND s IS NOT NULL WINDOW w AS (PARTITION BY m, f ORDER BY s, trip_id)),
+r AS (SELECT *, sum(CASE WHEN ok AND before IS NOT NULL AND isfinite(before) AND v = before THEN 0 ELSE 1 END) OVER (PARTITION BY m, f ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM o),
+k AS (SELECT m, f, run FROM r WHERE coalesce(ok, false) GROUP BY m, f, run HAVING count(*) >= 8)
+SELECT trip_id, f AS field_name FROM u WHERE v IS NOT NULL AND (NOT isfinite(v) OR v < low OR v > high)
+UNION SELECT trip_id, u.f FROM u JOIN g ON u.m = g.m AND u.f = g.f WHERE isfinite(v) AND abs(v - med) > 12 * greatest(mad, floor_)
+UNION SELECT trip_id, r.f FROM r JOIN k ON r.m = k.m AND r.f = k.f AND r.run = k.run WHERE coalesce(ok, false)
+"""
+P5 = """
+WITH t AS (SELECT trip_id, any_value(pickup_latitude) AS a, any_value(pickup_longitude) AS b, any_value(dropoff_latitude) AS c, any_value(dropoff_longitude) AS d FROM taxi_trips WHERE trip_id IS NOT NULL GROUP BY trip_id),
+p0 AS (SELECT trip_id, 'pickup' AS trip_end, a AS lat, b AS lon FROM t UNION ALL SELECT trip_id, 'dropoff', c, d FROM t),
+p AS (SELECT * FROM p0 WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT isnan(lat) AND NOT isnan(lon)),
+s AS (SELECT trip_id, trip_end, place_id FROM p, stands WHERE 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - latitude) / 2), 2) + cos(radians(lat)) * cos(radians(latitude)) * pow(sin(radians(lon - longitude) / 2), 2)))) <= radius_m),
+r AS (SELECT place_id, unnest(rings) AS ring FROM zones),
+e AS (SELECT place_id, ring[i].latitude AS y1, ring[i].longitude AS x1, ring[i % len(ring) + 1].latitude AS y2, ring[i % len(ring) + 1].longitude AS x2 FROM (SELECT place_id, ring, unnest(range(1, len(ring) + 1)) AS i FROM r)),
+z AS (SELECT trip_id, trip_end, place_id FROM p, e WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY trip_id, trip_end, place_id HAVING count(*) % 2 = 1)
+SELECT * FROM s UNION ALL SELECT * FROM z
+"""
+SQL: dict[str, str] = {"p4_found": P4, "p5_found": P5}

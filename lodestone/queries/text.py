@@ -421,10 +421,11 @@ def analyse_whitespace(spark, sf):
     return table(spark, sf, "documents").where("text is not null").select("doc_id", F.size(parts).cast("long").alias("n_tokens"))
 
 
-@query()
+@query(f"WITH {D} SELECT doc_id, CASE WHEN len(w) > 0 THEN w[1 + CAST(list_reduce(list_transform(string_split(substr(md5(CAST(doc_id AS VARCHAR)), 1, 8), ''), lambda c: CAST(strpos('0123456789abcdef', c) - 1 AS BIGINT)), lambda x, y: x * 16 + y) % len(w) AS BIGINT)] END AS label FROM d")
 def random_label(spark, sf):
     w = F.col("__body")
-    pick = F.element_at(w, (F.pmod(F.xxhash64("doc_id"), F.size(w)) + 1).cast("int"))
+    number = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
+    pick = F.element_at(w, (F.pmod(number, F.size(w)) + 1).cast("int"))
     return docs(spark, sf).analysed().select("doc_id", F.when(F.size(w) > 0, pick).alias("label"))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import prep
 from lodestone.operators import vectors as v
-from lodestone.queries.registry import query
+from lodestone.queries.registry import SQL, query
 from lodestone.tables import table
 
 
@@ -129,10 +130,14 @@ def vec_dim_stats(spark, sf):
     return s.select("dim", "n", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"), "zeros")
 
 
-@query()
+@query(
+    "WITH x AS (SELECT unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x, vec_id % 5 = 0 AS a FROM embeddings), s AS (SELECT dim, avg(x) FILTER (a) AS ma, avg(x) FILTER (NOT a) AS mb, stddev_samp(x) FILTER (a) AS sa, stddev_samp(x) FILTER (NOT a) AS sb, "
+    "count(x) FILTER (a) AS na, count(x) FILTER (NOT a) AS nb FROM x GROUP BY dim) SELECT dim, round((ma - mb) / sqrt(sa * sa / na + sb * sb / nb), 5) AS z, round(sb / sa, 6) AS spread_ratio FROM s"
+)
 def vec_drift(spark, sf):
     e = _e(spark, sf)
-    return v.drift(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 != 0"), "embedding")
+    d = v.drift(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 != 0"), "embedding")
+    return d.select("dim", F.round("z", 5).alias("z"), F.round("spread_ratio", 6).alias("spread_ratio"))
 
 
 @query("WITH a AS (SELECT embedding AS x, count(*) AS n FROM embeddings WHERE vec_id % 2 = 0 GROUP BY 1), b AS (SELECT embedding AS x, count(*) AS n FROM embeddings WHERE vec_id % 2 = 1 GROUP BY 1) SELECT CAST(coalesce((SELECT sum(a.n) FROM a JOIN b USING (x)), 0) AS BIGINT) AS shared, CAST(coalesce((SELECT sum(n - 1) FROM a WHERE n > 1), 0) AS BIGINT) AS repeats_a, CAST(coalesce((SELECT sum(n - 1) FROM b WHERE n > 1), 0) AS BIGINT) AS repeats_b")
@@ -159,12 +164,12 @@ def hadamard(spark, sf):
 
 @query()
 def intrinsic_dimension(spark, sf):
-    return v.intrinsic_dimension(_e(spark, sf), "embedding", "vec_id")
+    return v.intrinsic_dimension(_e(spark, sf), _every(spark, sf), "embedding", "vec_id").unionByName(v.principal_dimension(_e(spark, sf), "embedding", 64))
 
 
-@query()
+@query(top("dot", where=f"substr(md5(CAST(e.vec_id AS VARCHAR) || ':3'), 1, 8) < '{int(20 / 100 * (1 << 32)):08x}'"))
 def random_filter_knn(spark, sf, asked=_q):
-    kept = _e(spark, sf).where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(100)) < 20)
+    kept = _e(spark, sf).where(prep.chosen(F.col("vec_id"), 20, 3))
     return _out(v.knn(kept, asked(spark, sf), 10, "dot"))
 
 
@@ -180,9 +185,9 @@ def graph_fanout(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("fanout")).groupBy("fanout").agg(F.count("*").alias("nodes"))
 
 
-@query()
+@query(f"WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT round({SCORE['dot']}, 9) AS score FROM embeddings e, q WHERE query_id <> vec_id) SELECT round(floor((score * 2 - 1) / 0.05) * 0.05, 2) AS bucket, count(*) AS pairs FROM s GROUP BY 1")
 def sampled_distances(spark, sf):
-    return v.sampled_distances(_e(spark, sf), "embedding", "vec_id", 500)
+    return v.sampled_distances(_e(spark, sf), _every(spark, sf), "embedding", "vec_id")
 
 
 @query("WITH RECURSIVE n AS (SELECT r_regionkey AS id FROM region), e AS (SELECT id AS src, (id + 1) % 3 AS dst FROM n WHERE id < 3 UNION SELECT id, id + 1 FROM n WHERE id BETWEEN 2 AND 3), r AS (SELECT id AS a, id AS b FROM n UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT r.a AS id, min(r.b) AS component FROM r JOIN r s ON r.a = s.b AND r.b = s.a GROUP BY r.a")
@@ -198,7 +203,8 @@ def _whole(f):
         return f(spark, sf, _every)
 
     whole.__name__, whole.__doc__ = f"{f.__name__}_all", f"{f.__name__} asked for every id divisible by 100, against all rows."
-    return query()(whole)
+    sql = SQL.get(f.__name__)
+    return query(sql and sql.replace("vec_id IN (0, 1, 2, 3, 4)", "vec_id % 100 = 0"))(whole)
 
 
 for _f in (knn_dot, knn_cosine, knn_euclid, knn_mip, knn_prefilter, knn_postfilter, knn_radius, knn_parent_max, knn_diversified, oversample_rerank, rerank_recall, random_filter_knn):

@@ -8,12 +8,14 @@ written in files of bounded size. Malformed lines give nulls or drop out as each
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import wiki_text
@@ -250,3 +252,46 @@ def disc_metadata(spark: SparkSession, path: str) -> DataFrame:
     title = F.regexp_extract("value", r"(?m)^DTITLE=(.*)$", 1)
     parts = F.split(title, " / ", 2)
     return raw.select(F.regexp_extract("value", r"(?m)^DISCID=([0-9a-f]{8})", 1).alias("disc_id"), F.trim(parts[0]).alias("artist"), F.trim(F.get(parts, 1)).alias("album"), F.regexp_extract_all("value", F.lit(r"(?m)^TTITLE\d+=(.*)$"), F.lit(1)).alias("tracks")).where("disc_id != ''")
+
+
+def normal_name(name: str) -> str:
+    """A column's name in lower case, outer space off, other runs of odd characters as one underscore."""
+    return re.sub(r"[^0-9a-z]+", "_", name.strip().lower()).strip("_")
+
+
+def csv_union(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files with headers of their own spelling and order as one table of texts; what a file lacks is null."""
+    out = None
+    for path in paths:
+        own = spark.read.option("header", True).csv(path)
+        own = own.toDF(*[normal_name(c) for c in own.columns])
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def write_vector_records(df: DataFrame, vector: str, order: str, path: str) -> None:
+    """Little-endian float32 records in ``order``, as binary values, so that a collection of any size is split."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype("<f4")
+            dim = len(x) // max(1, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x.reshape(-1, dim)] if dim else [], pa.binary())], names=["value"])
+
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).select(vector)
+    rows = ranged.mapInArrow(work, "value binary").withColumn("part", F.spark_partition_id())
+    rows = rows.withColumn("place", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
+    rows.write.parquet(path)
+
+
+def vector_records(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """(ordinal, vector) of float32 records that ``write_vector_records`` wrote; any number, split as Spark likes."""
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+
+    @F.pandas_udf("array<float>")
+    def floats(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: np.frombuffer(b, "<f4"))
+
+    return rows.join(before, "part").select((F.col("place") + F.col("before")).alias("ordinal"), floats("value").alias("vector")).where(F.size("vector") == dim)
