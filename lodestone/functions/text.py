@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,16 +61,19 @@ def from_base36(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """The common character entities; the ampersand last."""
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return text
+    """All named and numbered character entities; a text without an ampersand is not looked at."""
+
+    @F.pandas_udf("string")
+    def read(column: pd.Series) -> pd.Series:
+        return column.map(html.unescape, na_action="ignore")
+
+    return F.when(F.contains(text, F.lit("&")), read(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
 
 
-def plain_text(html: Column) -> Column:
+def plain_text(page: Column) -> Column:
     """Text of a page: scripts, styles and comments dropped, tags to spaces, entities read, space squeezed."""
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    return F.btrim(F.regexp_replace(unescape(F.regexp_replace(text, r"(?s)<[^>]*>", " ")), r"\s+", " "))
+    text = F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    return F.btrim(F.regexp_replace(unescape(F.regexp_replace(text, r"(?s)<[^>]*>", " ")), "[\\s\u00a0]+", " "))
 
 
 def wiki_text(markup: Column, depth: int = 4) -> Column:
