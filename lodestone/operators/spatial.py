@@ -7,7 +7,9 @@ holds it, candidates are refined exactly, and a pair counts only in the leaf of
 point (the point itself), so that replication never gives a pair twice.
 
 Regions whose measured size stays below ``BROADCAST_BYTES`` travel to the points, which then
-need no shuffle; otherwise both sides are shuffled by leaf, hot leaves being salted.
+need no shuffle; otherwise both sides are shuffled by leaf. The points of a leaf with many are dealt
+over salts, the regions of a leaf with many over pieces, and every salt meets every piece in a task
+of its own. ``near_points`` gives the points near other points in that way.
 
 Defined results: a null, NaN or infinite coordinate, a latitude outside -90..90 or a longitude
 outside -180..180 matches nothing; so does a region without usable geometry. Empty tables give
@@ -35,6 +37,8 @@ NODE = 8
 BROADCAST_BYTES = 8 << 20
 #: Rows of points that one task takes of one leaf in the shuffled way.
 GROUP_ROWS = 200_000
+#: Regions that one task takes of one leaf in the shuffled way.
+PIECE_ROWS = 20_000
 
 REGION_SCHEMA = "place_id string, lat double, lon double, radius_m double, rings array<array<struct<latitude:double,longitude:double>>>"
 
@@ -254,7 +258,19 @@ def _fit(layout: DataFrame) -> tuple[Quadtree, int]:
     return Quadtree.fit(lat[ok], lon[ok], LEAF_ROWS), n
 
 
-def match_regions(points: DataFrame, regions: DataFrame, keys: list[str], layout: DataFrame | None = None) -> DataFrame:
+def near_points(points: DataFrame, queries: DataFrame, key: str, radius_m: float, layout: DataFrame | None = None) -> DataFrame:
+    """(key, near): for each point of a stated query set the other points within ``radius_m``.
+
+    Both have key, lat, lon; a point is no neighbour of its own key. The circles around the queries
+    are the regions, and always go the partitioned way.
+    """
+    kind = queries.schema[key].dataType
+    circles = queries.where(F.col(key).isNotNull()).selectExpr(f"cast(`{key}` as string) place_id", "cast(lat as double) lat", "cast(lon as double) lon", f"cast({float(radius_m)} as double) radius_m", "cast(null as array<array<struct<latitude:double,longitude:double>>>) rings")
+    found = match_regions(points, circles, [key], layout, broadcast_bytes=-1)
+    return found.select(F.col("place_id").cast(kind).alias(key), F.col(key).alias("near")).where(F.col(key) != F.col("near"))
+
+
+def match_regions(points: DataFrame, regions: DataFrame, keys: list[str], layout: DataFrame | None = None, broadcast_bytes: int | None = None) -> DataFrame:
     """(keys..., place_id) for every region that holds a point.
 
     ``points``: keys, lat, lon. ``layout`` (lat, lon) may name a cheaper table with the same
@@ -265,7 +281,7 @@ def match_regions(points: DataFrame, regions: DataFrame, keys: list[str], layout
     cells = F.lit(0).cast("long") + F.coalesce(F.aggregate("rings", F.lit(0).cast("long"), lambda a, r: a + F.coalesce(F.size(r), F.lit(0))), F.lit(1).cast("long"))
     volume = regions.agg(F.coalesce(F.sum(64 + 16 * cells), F.lit(0))).first()[0]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema if f.name in keys)
-    if volume <= BROADCAST_BYTES:
+    if volume <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
         rows = [r.asDict(recursive=True) for r in regions.select("place_id", "lat", "lon", "radius_m", "rings").collect()]
         shared = points.sparkSession.sparkContext.broadcast(Matcher(rows, tree))
 
@@ -282,25 +298,51 @@ def match_regions(points: DataFrame, regions: DataFrame, keys: list[str], layout
 
 
 def _match_shuffled(points: DataFrame, regions: DataFrame, keys: list[str], tree: Quadtree, n: int, kinds: str) -> DataFrame:
-    """Both sides by leaf; a leaf with many points is dealt out over salts, its regions go to each."""
-    shared = points.sparkSession.sparkContext.broadcast(tree)
+    """Both sides by leaf; salts and pieces as said above."""
+    context = points.sparkSession.sparkContext
+    shared = context.broadcast(tree)
     salts = np.maximum(1, np.ceil(tree.share * n / GROUP_ROWS)).astype(int) if len(tree.share) else np.ones(len(tree.start), int)
-    dealt = points.sparkSession.sparkContext.broadcast(salts)
+
+    def leaves(batch: pa.RecordBatch) -> np.ndarray:
+        """(row, leaf) of a batch of regions."""
+        at = [sorted({int(x) for box in boxes_of(r) for x in shared.value.meeting(box)}) for r in batch.to_pylist()]
+        return np.array([(i, leaf) for i, own in enumerate(at) for leaf in own], np.int64).reshape(-1, 2)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf, number = np.unique(leaves(batch)[:, 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(number)], names=["leaf", "number"])
+
+    own = regions.select("place_id", "lat", "lon", "radius_m", "rings")
+    # a row a leaf, and the leaves are bounded by the sample
+    pieces = np.ones(len(tree.start), int)
+    for r in own.mapInArrow(count, "leaf long, number long").groupBy("leaf").agg(F.sum("number").alias("number")).collect():
+        pieces[r["leaf"]] = max(1, -(-r["number"] // PIECE_ROWS))
+    dealt = context.broadcast((salts, pieces))
 
     def to_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts, pieces = dealt.value
         for batch in batches:
             lat, lon = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lat", "lon"))
             ok = np.flatnonzero(valid(lat, lon))
             leaf = shared.value.leaf(lat[ok], lon[ok]) if len(ok) else np.zeros(0, int)
-            salt = (np.arange(len(ok)) * 2654435761 % (1 << 32)) % dealt.value[leaf]
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(ok)).columns, pa.array(leaf, pa.int64()), pa.array(salt, pa.int64())], names=[*batch.schema.names, "__leaf", "__salt"])
+            salt = (np.arange(len(ok)) * 2654435761 % (1 << 32)) % salts[leaf]
+            times = pieces[leaf]
+            who = np.repeat(np.arange(len(ok)), times)
+            piece = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.take(pa.array(ok[who])).columns, *[pa.array(x, pa.int64()) for x in (leaf[who], salt[who], piece)]], names=[*batch.schema.names, "__leaf", "__salt", "__piece"])
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts, pieces = dealt.value
         for batch in batches:
-            at = [sorted({int(x) for box in boxes_of(r) for x in shared.value.meeting(box)}) for r in batch.to_pylist()]
-            copies = np.array([(i, leaf, salt) for i, leaves in enumerate(at) for leaf in leaves for salt in range(int(dealt.value[leaf]))], np.int64).reshape(-1, 3)
-            columns = [*batch.take(pa.array(copies[:, 0])).columns, pa.array(copies[:, 1]), pa.array(copies[:, 2])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "__leaf", "__salt"])
+            at = leaves(batch)
+            times = salts[at[:, 1]]
+            who = np.repeat(np.arange(len(at)), times)
+            salt = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+            piece = (at[:, 0] * 2654435761 % (1 << 32)) % pieces[at[:, 1]]
+            columns = [*batch.take(pa.array(at[who, 0])).columns, *[pa.array(x, pa.int64()) for x in (at[who, 1], salt, piece[who])]]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "__leaf", "__salt", "__piece"])
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         leaf = (left if left.num_rows else right).column("__leaf")[0].as_py()
@@ -308,6 +350,8 @@ def _match_shuffled(points: DataFrame, regions: DataFrame, keys: list[str], tree
         p, r = matcher.pairs(left.column("lat").to_numpy(), left.column("lon").to_numpy())
         return left.select(keys).take(pa.array(p)).append_column("place_id", pa.array(matcher.place[r], pa.string()))
 
-    a = points.mapInArrow(to_leaf, f"{kinds}, lat double, lon double, __leaf long, __salt long")
-    b = regions.select("place_id", "lat", "lon", "radius_m", "rings").mapInArrow(replicate, f"{REGION_SCHEMA}, __leaf long, __salt long")
-    return a.groupBy("__leaf", "__salt").cogroup(b.groupBy("__leaf", "__salt")).applyInArrow(probe, f"{kinds}, place_id string")
+    group = ["__leaf", "__salt", "__piece"]
+    more = ", __leaf long, __salt long, __piece long"
+    a = points.mapInArrow(to_leaf, f"{kinds}, lat double, lon double{more}")
+    b = own.mapInArrow(replicate, f"{REGION_SCHEMA}{more}")
+    return a.groupBy(*group).cogroup(b.groupBy(*group)).applyInArrow(probe, f"{kinds}, place_id string")

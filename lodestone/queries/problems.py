@@ -63,7 +63,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.match_regions(points, regions, ["trip_id", "trip_end"], layout)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_lifespans, p2_table, p4_found, p5_found, p6_found, p6_inferred_order)}
+def p5_near(spark: SparkSession, sf: str) -> DataFrame:
+    """The pickups within 10 m of the pickup of every trip whose id is divisible by 100, by the partitioned way."""
+    trips = table(spark, sf, "taxi_trips").select("trip_id", F.col("pickup_latitude").alias("lat"), F.col("pickup_longitude").alias("lon"))
+    once = trips.where("trip_id is not null").dropDuplicates(["trip_id"])
+    return spatial.near_points(once, once.where("trip_id % 100 = 0"), "trip_id", 10.0, trips)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_lifespans, p2_table, p4_found, p5_found, p5_near, p6_found, p6_inferred_order)}
 
 _TRIPS = "t AS (SELECT trip_id, any_value(meter_id) AS m, any_value(trip_seq) AS s, any_value(trip_distance) AS d, any_value(passenger_count) AS p, any_value(pickup_latitude) AS l FROM taxi_trips WHERE trip_id IS NOT NULL GROUP BY trip_id)"
 P4 = f"""
@@ -90,4 +97,9 @@ e AS (SELECT place_id, ring[i].latitude AS y1, ring[i].longitude AS x1, ring[i %
 z AS (SELECT trip_id, trip_end, place_id FROM p, e WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY trip_id, trip_end, place_id HAVING count(*) % 2 = 1)
 SELECT * FROM s UNION ALL SELECT * FROM z
 """
-SQL: dict[str, str] = {"p4_found": P4, "p5_found": P5}
+P5_NEAR = """
+WITH p AS (SELECT DISTINCT trip_id, pickup_latitude AS lat, pickup_longitude AS lon FROM taxi_trips WHERE trip_id IS NOT NULL AND pickup_latitude BETWEEN -90 AND 90 AND pickup_longitude BETWEEN -180 AND 180 AND NOT isnan(pickup_latitude) AND NOT isnan(pickup_longitude)),
+q AS (SELECT trip_id AS a, lat AS y, lon AS x FROM p WHERE trip_id % 100 = 0)
+SELECT a AS trip_id, trip_id AS near FROM q, p WHERE a <> trip_id AND abs(lat - y) < 0.001 AND 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - y) / 2), 2) + cos(radians(lat)) * cos(radians(y)) * pow(sin(radians(lon - x) / 2), 2)))) <= 10
+"""
+SQL: dict[str, str] = {"p4_found": P4, "p5_found": P5, "p5_near": P5_NEAR}

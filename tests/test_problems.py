@@ -307,3 +307,19 @@ def test_low_rank_and_sparse_parts_are_told_apart():
     sparse = np.where(rng.random(low.shape) < 0.04, 30.0, 0.0)
     got = spikes.robust_pca(low + sparse, np.zeros(40, int))
     assert np.median(np.abs(got - low)) < 0.5 and np.abs(got - low)[sparse > 0].max() < 15
+
+
+@pytest.mark.parametrize("piece", [3, 20_000])
+def test_points_near_points(spark, monkeypatch, piece):
+    monkeypatch.setattr(spatial, "PIECE_ROWS", piece)
+    monkeypatch.setattr(spatial, "GROUP_ROWS", 40)
+    monkeypatch.setattr(spatial, "LEAF_ROWS", 20)
+    rng = np.random.default_rng(6)
+    rows = [(i, float(40 + rng.normal(0, 0.01)), float(-74 + rng.normal(0, 0.01))) for i in range(300)] + [(i, 41.0, 179.9999 * (-1) ** i) for i in range(300, 310)]
+    rows += [(400, None, 1.0), (401, NAN, 1.0), (402, 91.0, 1.0), (None, 40.0, -74.0)]
+    points = spark.createDataFrame([(*r, "x") for r in rows], "id long, lat double, lon double, place_id string").drop("place_id")
+    got = [tuple(r) for r in spatial.near_points(points, points.where("id % 3 = 0"), "id", 300.0).collect()]
+    good = [r for r in rows if r[0] is not None and r[0] < 400]
+    want = {(a[0], b[0]) for a in good if a[0] % 3 == 0 for b in good if a[0] != b[0] and spatial.haversine_m(a[1], a[2], b[1], b[2]) <= 300}
+    got = [g for g in got if None not in g]
+    assert len(got) == len(set(got)) and set(got) == want
