@@ -64,10 +64,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_near(spark: SparkSession, sf: str) -> DataFrame:
-    """The pickups within 10 m of the pickup of every trip whose id is divisible by 100, by the partitioned way."""
+    """How many pickups lie within 10 m of the pickup of every trip whose id is divisible by 100, by the partitioned way; the pairs themselves grow with the density."""
     trips = table(spark, sf, "taxi_trips").select("trip_id", F.col("pickup_latitude").alias("lat"), F.col("pickup_longitude").alias("lon"))
     once = trips.where("trip_id is not null").dropDuplicates(["trip_id"])
-    return spatial.near_points(once, once.where("trip_id % 100 = 0"), "trip_id", 10.0, trips)
+    asked = once.where("trip_id % 100 = 0")
+    near = spatial.near_points(once, asked, "trip_id", 10.0, trips).groupBy("trip_id").agg(F.count("*").alias("near"))
+    return asked.select("trip_id").join(near, "trip_id", "left").select("trip_id", F.coalesce("near", F.lit(0)).alias("near"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_lifespans, p2_table, p4_found, p5_found, p5_near, p6_found, p6_inferred_order)}
@@ -100,6 +102,6 @@ SELECT * FROM s UNION ALL SELECT * FROM z
 P5_NEAR = """
 WITH p AS (SELECT DISTINCT trip_id, pickup_latitude AS lat, pickup_longitude AS lon FROM taxi_trips WHERE trip_id IS NOT NULL AND pickup_latitude BETWEEN -90 AND 90 AND pickup_longitude BETWEEN -180 AND 180 AND NOT isnan(pickup_latitude) AND NOT isnan(pickup_longitude)),
 q AS (SELECT trip_id AS a, lat AS y, lon AS x FROM p WHERE trip_id % 100 = 0)
-SELECT a AS trip_id, trip_id AS near FROM q, p WHERE a <> trip_id AND abs(lat - y) < 0.001 AND 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - y) / 2), 2) + cos(radians(lat)) * cos(radians(y)) * pow(sin(radians(lon - x) / 2), 2)))) <= 10
+SELECT w.trip_id, coalesce(c.near, 0) AS near FROM (SELECT DISTINCT trip_id FROM taxi_trips WHERE trip_id % 100 = 0) w LEFT JOIN (SELECT a, count(*) AS near FROM q, p WHERE a <> trip_id AND abs(lat - y) < 0.001 AND 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - y) / 2), 2) + cos(radians(lat)) * cos(radians(y)) * pow(sin(radians(lon - x) / 2), 2)))) <= 10 GROUP BY a) c ON c.a = w.trip_id
 """
 SQL: dict[str, str] = {"p4_found": P4, "p5_found": P5, "p5_near": P5_NEAR}
