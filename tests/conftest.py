@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parent.parent)]
 
+import __spark_entry__  # noqa: E402, F401 - registers the queries
+
 
 @pytest.fixture(scope="session")
 def spark():
