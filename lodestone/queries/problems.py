@@ -104,4 +104,31 @@ WITH p AS (SELECT DISTINCT trip_id, pickup_latitude AS lat, pickup_longitude AS
 q AS (SELECT trip_id AS a, lat AS y, lon AS x FROM p WHERE trip_id % 100 = 0)
 SELECT w.trip_id, coalesce(c.near, 0) AS near FROM (SELECT DISTINCT trip_id FROM taxi_trips WHERE trip_id % 100 = 0) w LEFT JOIN (SELECT a, count(*) AS near FROM q, p WHERE a <> trip_id AND abs(lat - y) < 0.001 AND 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - y) / 2), 2) + cos(radians(lat)) * cos(radians(y)) * pow(sin(radians(lon - x) / 2), 2)))) <= 10 GROUP BY a) c ON c.a = w.trip_id
 """
-SQL: dict[str, str] = {"p4_found": P4, "p5_found": P5, "p5_near": P5_NEAR}
+_P2 = """
+r AS (SELECT DISTINCT suite_id, file_id, file_seq, record_no, run_key, payload FROM knn_result_raw WHERE file_id IS NOT NULL AND suite_id IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
+f AS (SELECT *, dense_rank() OVER (PARTITION BY suite_id ORDER BY file_seq, file_id) AS no FROM (SELECT DISTINCT suite_id, file_id, file_seq FROM r)),
+k AS (SELECT suite_id, file_id, run_key, payload, unnest(json_keys(payload)) AS key FROM r),
+v0 AS (SELECT suite_id, file_id, run_key, key, json_extract(payload, '$."' || key || '"') AS v FROM k),
+v AS (SELECT *, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS t FROM v0),
+d AS (SELECT suite_id, no, file_id, key, coalesce(list_sort(list(DISTINCT t) FILTER (WHERE t IS NOT NULL)), []) AS types FROM v JOIN f USING (suite_id, file_id) GROUP BY ALL)
+"""
+P2 = f"""
+WITH {_P2},
+come AS (SELECT f.file_id, f.suite_id, f.no, d.key FROM f JOIN d USING (suite_id, no) WHERE f.no > 1 AND NOT EXISTS (SELECT 1 FROM d b WHERE b.suite_id = f.suite_id AND b.no = f.no - 1 AND b.key = d.key)),
+gone AS (SELECT f.file_id, b.file_id AS before, f.suite_id, f.no, b.key FROM f JOIN d b ON b.suite_id = f.suite_id AND b.no = f.no - 1 WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.suite_id = f.suite_id AND d.no = f.no AND d.key = b.key)),
+type AS (SELECT a.file_id, a.key FROM d a JOIN d b ON a.suite_id = b.suite_id AND a.no = b.no + 1 AND a.key = b.key WHERE len(a.types) > 0 AND len(b.types) > 0 AND a.types <> b.types),
+val AS (SELECT file_id, key, run_key, count(DISTINCT (t, x)) AS n, any_value(t) AS t, any_value(x) AS x FROM (SELECT file_id, key, run_key, t, CASE WHEN t = 'number' THEN CAST(CAST(v AS DOUBLE) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS x FROM v WHERE t IS NOT NULL AND run_key IS NOT NULL) GROUP BY ALL),
+pair AS (SELECT g.file_id, g.key AS lost, c.key AS new FROM gone g JOIN come c ON c.file_id = g.file_id JOIN val a ON a.file_id = g.before AND a.key = g.key JOIN val b ON b.file_id = c.file_id AND b.key = c.key AND b.run_key = a.run_key
+  GROUP BY ALL HAVING bool_and(a.n = 1 AND b.n = 1 AND a.t = b.t AND a.x = b.x) AND count(DISTINCT a.t) = 1)
+SELECT file_id, key AS field_name, 'added' AS change_kind FROM come WHERE (file_id, key) NOT IN (SELECT file_id, new FROM pair)
+UNION ALL SELECT file_id, key, 'removed' FROM gone WHERE (file_id, key) NOT IN (SELECT file_id, lost FROM pair)
+UNION ALL SELECT DISTINCT file_id, new, 'renamed' FROM pair
+UNION ALL SELECT file_id, key, 'retyped' FROM type
+"""
+P2_LIFESPANS = f"""
+WITH {_P2},
+s AS (SELECT *, CASE WHEN lag(no) OVER w = no - 1 AND lag(types) OVER w = types THEN 0 ELSE 1 END AS begins FROM d WINDOW w AS (PARTITION BY suite_id, key ORDER BY no)),
+i AS (SELECT *, sum(begins) OVER (PARTITION BY suite_id, key ORDER BY no ROWS UNBOUNDED PRECEDING) AS island FROM s)
+SELECT suite_id, key AS field_name, array_to_string(any_value(types), '|') AS json_types, arg_min(file_id, no) AS first_file, arg_max(file_id, no) AS last_file, max(no) - min(no) + 1 AS files FROM i GROUP BY suite_id, key, island
+"""
+SQL: dict[str, str] = {"p2_found": P2, "p2_lifespans": P2_LIFESPANS, "p4_found": P4, "p5_found": P5, "p5_near": P5_NEAR}
